@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name -> module with query(spark, sf_dir) and ORACLE (SQL or None).
 OPERATORS = {
     "op1_mixing": "mixing",
+    "op2_sharding": "sharding",
     "op6_exact_dedup": "exact_dedup",
 }
 
