@@ -13,6 +13,7 @@ OPERATORS = {
     "op1_mixing": "mixing",
     "op2_sharding": "sharding",
     "op6_exact_dedup": "exact_dedup",
+    "op7_chat": "chat",
 }
 
 
