@@ -14,6 +14,7 @@ OPERATORS = {
     "op2_sharding": "sharding",
     "op6_exact_dedup": "exact_dedup",
     "op7_chat": "chat",
+    "op9_near_dedup": "near_dedup",
     "op10_imatch": "fingerprint",
 }
 
