@@ -14,8 +14,8 @@
 
 A link needs 100 * intersection >= 100 * similarity * union, in integers. Two sets at 0.8 share no band of 40 x 6 with
 odds of 5e-6. Documents without words have empty sets and link with nothing; null texts count as empty; a null doc_id is
-no candidate for the least one. Rows that repeat a doc_id are documents of their own. An empty table gives an empty
-result.
+no candidate for the least one. Rows that repeat a doc_id are documents of their own in the report; deduplicate()
+keeps or drops them together, by identifier. An empty table gives an empty result.
 """
 
 from __future__ import annotations
