@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 OPERATORS = {
     "op1_mixing": "mixing",
     "op2_sharding": "sharding",
+    "op4_secret_scan": "secret_scan",
     "op6_exact_dedup": "exact_dedup",
     "op7_chat": "chat",
     "op9_near_dedup": "near_dedup",
