@@ -109,16 +109,17 @@ def report(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     rows = keep(base.select("k", "th", F.char_length("text").cast("long").alias("n_chars"), fingerprint(F.col("text"), flags).alias("fp")), "fingerprints")
     linked = keep(chain(rows.dropDuplicates(["k", "th"])), "chain")
     openings = (
-        base.select("k", "th", "text").join(linked.select("k", "th", "prev_k", "prev_th", "need"), ["k", "th"])
-        .select(F.col("prev_k").alias("k"), F.col("prev_th").alias("th"), F.expr("left(text, need)").alias("opening"))
+        base.join(linked.select("k", "th", "prev_k", "prev_th", "need"), ["k", "th"])
+        .select(F.col("prev_k").alias("k"), F.col("prev_th").alias("th"), F.struct(F.expr("left(text, need)").alias("text"), "doc_id").alias("opening"))  # with doc_id, both reads of base share one shuffle
         .groupBy("k", "th").agg(F.first("opening").alias("opening"))
+        .select("k", "th", F.col("opening.text").alias("opening"), F.col("opening.doc_id").alias("next_id"))
     )
     edited = F.concat(F.expr("left(text, cast(n_chars - floor(n_chars / 3) as int))"), F.expr("left(opening, cast(floor(n_chars / 3) as int))"))
     return (
         base.join(linked.select("k", "th", "n_chars", "fp", "next_fp"), ["k", "th"]).join(openings, ["k", "th"])
-        .select("doc_id", "n_chars", "fp", "next_fp", edited.alias("edited"))
+        .select("doc_id", "n_chars", "fp", "next_fp", "next_id", edited.alias("edited"))
         .withColumn("edited_fingerprint", fingerprint(F.col("edited"), flags))
-        .select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("fp").alias("fingerprint"), "edited_fingerprint", likeness(F.col("fp"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
+        .select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("fp").alias("fingerprint"), "edited_fingerprint", likeness(F.col("fp"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "next_id")
     )
 
 
