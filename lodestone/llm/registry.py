@@ -13,6 +13,7 @@ OPERATORS = {
     "op1_mixing": "mixing",
     "op2_sharding": "sharding",
     "op4_secret_scan": "secret_scan",
+    "op5_quality": "quality",
     "op6_exact_dedup": "exact_dedup",
     "op7_chat": "chat",
     "op9_near_dedup": "near_dedup",
