@@ -16,6 +16,7 @@ OPERATORS = {
     "op5_quality": "quality",
     "op6_exact_dedup": "exact_dedup",
     "op7_chat": "chat",
+    "op8_toxicity": "toxicity",
     "op9_near_dedup": "near_dedup",
     "op10_imatch": "fingerprint",
 }
