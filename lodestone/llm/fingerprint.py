@@ -5,7 +5,7 @@ lower case, by hash in TERM_BUCKETS buckets, so that the count table has a fixed
 count). The lexicon is the buckets whose share of documents lies in BAND. A document's distinct lexicon terms, sorted,
 are hashed whole, and again within SUBSETS random subsets that keep a term with odds 1/4, 1/16, 1/64 and 1/256: after an edit
 some subset of a fitting size still has the same terms, however long the text. A text without lexicon terms has the
-hash of itself. The fingerprint is 65 hashes of 6 hex digits; dashes mark an empty subset.
+hash of itself. The fingerprint is 65 hashes of 6 hex digits; zeros mark an empty subset.
 
 Likeness is 1 for equal fingerprints, otherwise the best share of equal, non-empty subsets among the four odds.
 
@@ -28,7 +28,7 @@ from .common import keep, read_table
 
 TERM_BUCKETS, BAND, SUBSETS, ODDS, WIDTH = 1 << 18, (0.0005, 0.1), 16, (4, 16, 64, 256), 6
 TERM_BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-EMPTY, NO_ID = "-" * WIDTH, -(1 << 63)
+EMPTY, NO_ID = "0" * WIDTH, -(1 << 63)
 RANGE_ROWS, MAX_RANGES = 4096, 1024
 
 
@@ -79,8 +79,12 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(F.greatest(*levels) / F.lit(float(SUBSETS)))
 
 
+def told(fp: Column) -> Column:
+    return F.lower(F.hex(fp))
+
+
 def chain(nodes: DataFrame) -> DataFrame:
-    """nodes: k, th, n_chars, fp, one row each. Adds next_fp, and for the row before it prev_k, prev_th, need."""
+    """nodes: k, th, n_chars, fp (as bytes), one row each. Adds near_next, and for the row before it prev_k, prev_th, need."""
     n = nodes.count()
     ranges = max(1, min(MAX_RANGES, n // RANGE_ROWS))
     bounds = nodes.agg(F.percentile_approx("k", [i / ranges for i in range(1, ranges)] or [0.5], 10_000)).first()[0] or []
@@ -98,7 +102,7 @@ def chain(nodes: DataFrame) -> DataFrame:
         ranged.withColumn("prev", prev).withColumn("next_fp", F.lead("fp").over(inside))
         .join(F.broadcast(ends), "range")
         .withColumn("prev", F.coalesce("prev", F.struct("before.k", "before.th", "before.n_chars")))
-        .select("k", "th", "n_chars", "fp", F.coalesce("next_fp", F.col("after.fp")).alias("next_fp"), F.col("prev.k").alias("prev_k"), F.col("prev.th").alias("prev_th"), F.floor(F.col("prev.n_chars") / 3).cast("int").alias("need"))
+        .select("k", "th", "n_chars", "fp", likeness(told(F.col("fp")), told(F.coalesce("next_fp", F.col("after.fp")))).alias("near_next"), F.col("prev.k").alias("prev_k"), F.col("prev.th").alias("prev_th"), F.floor(F.col("prev.n_chars") / 3).cast("int").alias("need"))
     )
 
 
@@ -106,7 +110,7 @@ def report(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     base = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), text.alias("text"), F.xxhash64(text).alias("th"))
     flags = lexicon(base.select("text"), band)
-    rows = keep(base.select("k", "th", F.char_length("text").cast("long").alias("n_chars"), fingerprint(F.col("text"), flags).alias("fp")), "fingerprints")
+    rows = keep(base.select("k", "th", F.char_length("text").cast("long").alias("n_chars"), F.unhex(fingerprint(F.col("text"), flags)).alias("fp")), "fingerprints")
     linked = keep(chain(rows.dropDuplicates(["k", "th"])), "chain")
     openings = (
         base.join(linked.select("k", "th", "prev_k", "prev_th", "need"), ["k", "th"])
@@ -116,10 +120,10 @@ def report(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     )
     edited = F.concat(F.expr("left(text, cast(n_chars - floor(n_chars / 3) as int))"), F.expr("left(opening, cast(floor(n_chars / 3) as int))"))
     return (
-        base.join(linked.select("k", "th", "n_chars", "fp", "next_fp"), ["k", "th"]).join(openings, ["k", "th"])
-        .select("doc_id", "n_chars", "fp", "next_fp", "next_id", edited.alias("edited"))
+        base.join(linked.select("k", "th", "n_chars", "fp", "near_next"), ["k", "th"]).join(openings, ["k", "th"])
+        .select("doc_id", "n_chars", told(F.col("fp")).alias("fingerprint"), "near_next", "next_id", edited.alias("edited"))
         .withColumn("edited_fingerprint", fingerprint(F.col("edited"), flags))
-        .select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("fp").alias("fingerprint"), "edited_fingerprint", likeness(F.col("fp"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "next_id")
+        .select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), "near_next", "next_id")
     )
 
 
