@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 OPERATORS = {
     "op1_mixing": "mixing",
     "op2_sharding": "sharding",
+    "op3_subword": "subword",
     "op4_secret_scan": "secret_scan",
     "op5_quality": "quality",
     "op6_exact_dedup": "exact_dedup",
