@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 from importlib import import_module
 
@@ -28,11 +27,11 @@ def _module(name: str):
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
+    return import_module("corpus_pipeline").run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _module(name).query for name in OPERATORS}
+    return {name: _module(name).query for name in OPERATORS} | {"pipeline": _pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
