@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, keep, read_table
+from .common import BROADCAST_BYTES, keep, read_table, slices
 from .shingles import WordHashes, bands_of, chunks, set_key, shingle_set, signatures
 
 BANDS, ROWS, SHINGLE, SIMILARITY = 40, 6, 5, 80
@@ -41,7 +41,7 @@ def signed(value: int) -> int:
 def sign_batches(batches, k: int, bands: int, rows: int):
     """(doc_id, text) -> doc_id, n, hi, lo, bands."""
     known = WordHashes()
-    for batch in batches:
+    for batch in slices(batches):
         sets = [shingle_set(t, k, known) for t in batch.column("text").to_pylist()]
         keys = [tuple(map(signed, set_key(s))) if len(s) else (None, None) for s in sets]
         full = [s for s in sets if len(s)]
@@ -57,7 +57,7 @@ def sign_batches(batches, k: int, bands: int, rows: int):
 def set_batches(batches, k: int):
     """(text) -> hi, lo, n, items: the set as bytes."""
     known = WordHashes()
-    for batch in batches:
+    for batch in slices(batches):
         sets = [shingle_set(t, k, known) for t in batch.column("text").to_pylist()]
         keys = [tuple(map(signed, set_key(s))) for s in sets]
         yield pa.RecordBatch.from_arrays(
@@ -256,7 +256,7 @@ def report(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY
     banded = firsts.select("node", F.explode("bands").alias("key")).distinct()
     found = components(links(docs, nodes, banded, shingle, similarity, block_rows, forest_edges), forest_edges)
     comps = keep(label(nodes.select("node", "hi", "lo", "doc_id"), found, "comp"), "comps")
-    least = comps.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    least = keep(comps.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least")  # apart, so that a hot component's join can be split
     by_key = keep(comps.join(least, "comp").select("hi", "lo", "component_id"), "classes")
     joined = signed_rows.select("doc_id", "n", "hi", "lo").join(by_key, ["hi", "lo"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
