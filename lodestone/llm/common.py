@@ -63,3 +63,10 @@ def word_count(col: Column) -> Column:
     edge = lambda at: (F.element_at(cut, at) == "").cast("int")
     n = F.size(cut)
     return F.when(n == 1, 1 - edge(1)).otherwise(n - edge(1) - edge(-1)).cast("long")
+
+
+def slices(batches, rows: int = 2000):
+    """Arrow batches in pieces of so many rows at most, so that a Python worker holds the objects of one piece."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, slices
 
 KINDS = ("assign", "access", "hex", "lexed")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -171,7 +171,7 @@ SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32
 
 
 def scan_batches(batches):
-    for batch in batches:
+    for batch in slices(batches):
         found = [spans_of(t) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(SPAN))], names=["doc_id", "spans"])
 

@@ -28,10 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, slices
 
 MODEL, SAMPLES, SEED, ZIPF = "/opt/tokenizers/piece_bpe_32k.model", 2, 7, 10.0
-SPACE, BLOCK_WORDS = "▁", 250_000
+SPACE, BLOCK_WORDS = "▁", 100_000
+#: Steps looked at first, and the largest Gumbel that `uniform` can give, rounded up.
+WINDOW, NOISE = 96, 37.0
+#: Most pieces that end at a place have at most so many characters; sums over longer ones are made only where there are some.
+NARROW = 4
 U = np.uint64
 
 
@@ -131,24 +135,17 @@ class Trie:
         return out
 
 
-class Numbered(dict):
-    """Numbers keys as they come."""
-
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        return n
-
-
 class Lattice:
     """All words of a block: a row per character of each different word, and the edges that end there, by length.
 
     piece[row, n-1]: the piece of n characters that ends at row, -1 without one, -2-c for the bytes of character c.
-    alpha[row]: log-sum over all segmentations of the word up to there. cum: cumulative conditional edge odds."""
+    log_q: its log-probability given that an edge ends there, from forward sums over all segmentations of the word up
+    to there. cum: the same, cumulative."""
 
     def __init__(self, words: list[str], trie: Trie, vocabulary: Vocabulary):
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
         order = np.argsort(sizes, kind="stable")
-        text = "".join(" " + words[i] for i in order.tolist())
+        text = " " + " ".join(map(words.__getitem__, order.tolist())) if words else ""
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         sorted_sizes = sizes[order]
         begins = np.concatenate([[0], np.cumsum(sorted_sizes)])[:-1]
@@ -179,39 +176,51 @@ class Lattice:
         if len(bare):
             cost[bare] = lengths[np.searchsorted(np.unique(codes[bare]), codes[bare])] * float(vocabulary.log_probs[vocabulary.byte_ids].min())
         table = np.append(vocabulary.log_probs, -np.inf)
-        self.cost = cost
-        self.alpha = np.zeros(n)
-        self.cum = np.zeros((n, width), np.float32)
+        self.width = width
+        self.log_q = table.take(self.piece.ravel(), mode="wrap").reshape(n, width)  # the last entry is for none
+        self.log_q[bare, 0] = cost[bare]
+        far = (self.piece[:, NARROW:] >= 0).any(axis=1) if width > NARROW else np.zeros(n, bool)
+
+        def raw(at: np.ndarray) -> np.ndarray:
+            weight = table.take(self.piece.take(at, axis=0), mode="wrap")
+            weight[:, 0] = np.where(self.piece[at, 0] < -1, cost[at], weight[:, 0])
+            return weight
+
+        def sums(edges: np.ndarray, cum: np.ndarray, alpha: np.ndarray, j: int, span: int, some: np.ndarray | None) -> None:
+            """Forward sums at the j-th end: of all words over edges up to span, or of some words anew."""
+            edge = edges[:, :span] if some is None else edges[some, :span]
+            before = alpha[:, j - span : j][:, ::-1]
+            edge += before if some is None else before[some]
+            top = edge.max(axis=1)
+            odds = np.cumsum(np.exp(edge - top[:, None]), axis=1)
+            total = top + np.log(odds[:, -1])
+            edge -= total[:, None]
+            if some is None:
+                alpha[:, j] = total
+                np.divide(odds, odds[:, -1:], out=cum[:, :span], casting="same_kind")
+            else:
+                alpha[some, j] = total
+                edges[some, :span] = edge
+                cum[some, :span] = odds / odds[:, -1:]
+
+        self.cum = np.ones((n, width), np.float32)
         start = 0
         for length, count in zip(*np.unique(sorted_sizes, return_counts=True), strict=True):
             rows = slice(start, start + length * count)
             start += length * count
-            pieces = self.piece[rows].reshape(count, length, width)
-            alpha = np.full((count, length + 1), 0.0)
-            cum = self.cum[rows].reshape(count, length, width)
-            byte_cost = cost[rows].reshape(count, length)
+            edges, cum = (x[rows].reshape(count, length, width) for x in (self.log_q, self.cum))
+            longer = far[rows].reshape(count, length)
+            alpha = np.zeros((count, length + 1))
             for j in range(1, length + 1):
-                span = min(j, width)
-                edge = table.take(np.maximum(pieces[:, j - 1, :span], -1), mode="wrap")
-                edge[:, 0] = np.where(pieces[:, j - 1, 0] < -1, byte_cost[:, j - 1], edge[:, 0])
-                edge += alpha[:, j - span : j][:, ::-1]
-                top = edge.max(axis=1)
-                odds = np.cumsum(np.exp(edge - top[:, None]), axis=1)
-                alpha[:, j] = top + np.log(odds[:, -1])
-                cum[:, j - 1, :span] = odds / odds[:, -1:]
-                cum[:, j - 1, span:] = 1
-            self.alpha[rows] = alpha[:, 1:].reshape(-1)
-        self.table = table
-
-    def log_odds(self, rows: np.ndarray, lengths: np.ndarray, left: np.ndarray) -> np.ndarray:
-        """Log conditional probability of the edges of these lengths that end at rows; left: characters before rows' end."""
-        pieces = self.piece.ravel().take(rows * self.piece.shape[1] + (lengths - 1))
-        weight = self.table.take(pieces, mode="wrap")  # the last entry is for none
-        if (odd := np.flatnonzero(pieces < 0)).size:
-            weight[odd] = self.cost.take(rows[odd])
-        weight += np.where(left > lengths, self.alpha.take(rows - lengths, mode="wrap"), 0.0)
-        weight -= self.alpha.take(rows)
-        return np.minimum(weight, 0.0, out=weight)
+                sums(edges[:, j - 1], cum[:, j - 1], alpha, j, min(j, NARROW, width), None)
+                if j > NARROW and (some := np.flatnonzero(longer[:, j - 1])).size:  # few ends have a long edge
+                    edges[:, j - 1][some] = raw(rows.start + some * length + j - 1)
+                    sums(edges[:, j - 1], cum[:, j - 1], alpha, j, min(j, width), some)
+        np.minimum(self.log_q, 0.0, out=self.log_q)
+
+    def log_odds(self, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Log conditional probability of the edges of these lengths that end at rows."""
+        return self.log_q.ravel().take(rows * self.width + (lengths - 1))
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -221,8 +230,8 @@ def scramble(x: np.ndarray) -> np.ndarray:
 
 
 def uniform(keys: np.ndarray, salt: int) -> np.ndarray:
-    """In (0, 1], by key."""
-    return ((scramble(keys + U(salt * 0x9E3779B97F4A7C15 % (1 << 64))) >> U(11)).astype(np.float64) + 1) / float(1 << 53)
+    """Between 0 and 1, neither included, by key."""
+    return ((scramble(keys + U(salt * 0x9E3779B97F4A7C15 % (1 << 64))) >> U(12)).astype(np.float64) + 0.5) / float(1 << 52)
 
 
 class Path:
@@ -245,7 +254,7 @@ def walk(lattice: Lattice, kind: np.ndarray, word: np.ndarray, left: np.ndarray,
         row = lattice.begin.take(kind.take(at)) + now - 1
         u = uniform(keys.take(at) + U(step * 0x632BE59BD9B4E019 % (1 << 64)), 2 * sample + 1).astype(np.float32)
         length = 1 + (lattice.cum.take(row, axis=0) < u[:, None]).sum(axis=1)
-        got.append((at, row, length, lattice.log_odds(row, length, now)))
+        got.append((at, row, length, lattice.log_odds(row, length)))
         now -= length
         left[at] = now
         at = at[now > 0]
@@ -283,48 +292,66 @@ def best_of(values: np.ndarray, ends: np.ndarray, k: int) -> list[list[int]]:
     return out
 
 
-def agenda_values(path: Path, level: np.ndarray, keys: np.ndarray, after: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each step: the perturbed value of "another edge here", truncated at the document's; and the log-mass before it."""
-    starts = np.concatenate([[0], path.ends[:-1]])
-    counts = path.ends - starts
-    owner = np.repeat(np.arange(len(counts)), counts)
-    before = np.empty(len(path.log_p))
-    for a, b in zip(starts.tolist(), path.ends.tolist(), strict=True):  # each alone, so that the block does not change the rounding
-        np.cumsum(path.log_p[a:b], out=before[a:b])
-    before -= path.log_p
-    depth = np.arange(len(path.word)) - starts[owner]
-    mass = before + np.log(-np.expm1(path.log_p))
-    e = -np.log(uniform(keys[owner] + depth.astype(U) * U(0xD1342543DE82EF95), 2 * sample + 2))
-    value = -np.log(np.exp(-level[owner]) + e * np.exp(-mass))
-    value[depth < after[owner]] = -np.inf
-    return value, before
+def agenda_values(path: Path, slots: np.ndarray, level: np.ndarray, keys: np.ndarray, after: np.ndarray, sample: int, window: int | None):
+    """Perturbed values of "another edge here", truncated at the document's, for each step from `after` on, `window` at most.
+
+    Returns values, the log-mass before each, their places in the path, the ends by slot, and the log-mass after the last."""
+    starts = np.concatenate([[0], path.ends[:-1]])[slots]
+    lows = starts + after[slots]
+    highs = path.ends[slots] if window is None else np.minimum(path.ends[slots], lows + window)
+    highs = np.maximum(highs, lows)
+    counts = highs - lows
+    ends = np.cumsum(counts)
+    before, rest = np.empty(int(counts.sum())), np.zeros(len(slots))
+    for i, (s, a, b, e) in enumerate(zip(starts.tolist(), lows.tolist(), highs.tolist(), ends.tolist(), strict=True)):  # each alone, so that the block does not change the rounding
+        sums = np.cumsum(path.log_p[s:b])
+        before[e - (b - a) : e] = sums[a - s :]
+        if b > s:
+            rest[i] = sums[-1]
+    owner = np.repeat(np.arange(len(slots)), counts)
+    spot = np.arange(len(before)) - (ends - counts)[owner] + lows[owner]
+    log_p = path.log_p.take(spot)
+    before -= log_p
+    mass = before + np.log(-np.expm1(log_p))
+    e = -np.log(uniform(keys[slots][owner] + (spot - starts[owner]).astype(U) * U(0xD1342543DE82EF95), 2 * sample + 2))
+    return -np.log(np.exp(-level[slots][owner]) + e * np.exp(-mass)), before, spot, ends, rest
 
 
 def sample_block(texts: list[str], row_keys: np.ndarray, trie: Trie, vocabulary: Vocabulary, k: int):
     """Per sample: documents that have it, ids (flat), their ends, log-probabilities, perturbed values, log inclusion."""
     split = [t.split(" ") if t else [] for t in texts]
-    index = Numbered()
     count = np.fromiter(map(len, split), np.int64, len(split))
-    kind = np.fromiter(map(index.__getitem__, chain.from_iterable(split)), np.int64, int(count.sum()))
+    every = list(chain.from_iterable(split))
+    different = list(dict.fromkeys(every))
+    kind = np.fromiter(map(dict(zip(different, range(len(different)), strict=True)).__getitem__, every), np.int64, len(every))
     word_ends = np.cumsum(count)
     word_starts = word_ends - count
     owner = np.repeat(np.arange(len(split)), count)
-    del split
-    lattice = Lattice(list(index), trie, vocabulary)
+    del split, every
+    lattice = Lattice(different, trie, vocabulary)
     place = np.arange(len(kind)) - word_starts[owner]
     keys = scramble(row_keys[owner] + place.astype(U) * U(0xA24BAED4963EE407))
     size = lattice.size[kind]
     columns = walk(lattice, kind, np.arange(len(kind)), size, keys, 0)
     ends = np.searchsorted(columns[0], word_ends, side="left")
     paths = [Path(*columns, ends)]
-    levels = [-np.log(-np.log(np.minimum(uniform(row_keys, 0), 1 - 2.0**-53)))]
+    levels = [-np.log(-np.log(uniform(row_keys, 0)))]
     agenda: list[list[tuple]] = [[] for _ in texts]  # (value, sample, step in the document, log-mass before, edges taken)
 
     def note(path: Path, docs: np.ndarray, level: np.ndarray, after: np.ndarray, sample: int) -> None:
-        value, before = agenda_values(path, level, row_keys[docs], after, sample)
-        for slot, tops in enumerate(best_of(value, path.ends, k)):
-            begin = path.ends[slot - 1] if slot else 0
-            agenda[docs[slot]] += [(float(value[p]), sample, slot, int(p - begin), float(before[p]), (int(path.length[p]),)) for p in tops]
+        """The k largest values of each document go to its agenda. A value exceeds its log-mass by NOISE at most, and masses
+        fall along the text, so the first steps decide unless the mass after them could still reach the k-th value."""
+        slots, window = np.arange(len(docs)), WINDOW
+        while len(slots):
+            value, before, spot, ends, rest = agenda_values(path, slots, level, row_keys[docs], after, sample, window)
+            again = []
+            for slot, tops, e, left in zip(slots.tolist(), best_of(value, ends, k), path.ends[slots].tolist(), rest.tolist(), strict=True):
+                begin = int(path.ends[slot - 1]) if slot else 0
+                if window is not None and e - begin - int(after[slot]) > window and (len(tops) < k or value[tops[-1]] <= left + NOISE):
+                    again.append(slot)
+                else:
+                    agenda[docs[slot]] += [(float(value[p]), sample, slot, int(spot[p]) - begin, float(before[p]), (int(path.length[spot[p]]),)) for p in tops]
+            slots, window = np.array(again, np.int64), None
 
     everyone = np.arange(len(texts))
     note(paths[0], everyone, levels[0], np.zeros(len(texts), np.int64), 0)
@@ -342,7 +369,7 @@ def sample_block(texts: list[str], row_keys: np.ndarray, trie: Trie, vocabulary:
             row, word = path.row[spot], int(path.word[spot])
             left = int(row - lattice.begin[kind[word]] + 1)
             lengths = np.flatnonzero(lattice.piece[row, :left] != -1) + 1
-            log_p = lattice.log_odds(np.full(len(lengths), row), lengths, np.full(len(lengths), left))
+            log_p = lattice.log_odds(np.full(len(lengths), row), lengths)
             open_ = ~np.isin(lengths, taken)
             lengths, log_p = lengths[open_], log_p[open_]
             u = float(uniform(row_keys[d : d + 1] + U((sample * 1_000_003 + step) % (1 << 63)), 3)[0])
@@ -427,25 +454,35 @@ def decode_ids(ids: list[int], table: list[bytes]) -> str:
     return b"".join(map(table.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
 
 
+def decodes(ids, starts, ends, docs, spelt: list[bytes], table: list[bytes], widths: np.ndarray) -> list[bool]:
+    """Whether each document's ids decode to its text, by bytes: all ids of a sample are decoded in one run."""
+    whole = b"".join(map(table.__getitem__, ids.tolist()))
+    at = np.concatenate([[0], np.cumsum(widths.take(ids))])
+    return [whole[a + (b > a) : b] == spelt[d] for a, b, d in zip(at[starts].tolist(), at[ends].tolist(), docs.tolist(), strict=True)]
+
+
 def encode_batches(batches, plain: tuple, k: int, seed: int, check: bool):
     """plain: the vocabulary's and the trie's parts."""
     vocabulary, trie = Vocabulary(*plain[0]), Trie(plain[1])
+    widths = np.array([len(b) for b in vocabulary.bytes])
     schema = pa.schema([("doc_id", pa.int64()), ("sample", pa.int32()), ("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("log_inclusion", pa.float64()), ("exact", pa.bool_())])
-    for batch in batches:
+    for batch in slices(batches):
         doc_ids = batch.column("doc_id").to_pylist()
         texts = [t or "" for t in batch.column("text").to_pylist()]
+        spaces = [t.count(" ") for t in texts]
         start = 0
         while start < len(texts):
-            stop, words = start, 0
-            while stop < len(texts) and (stop == start or words + texts[stop].count(" ") < BLOCK_WORDS):
-                words += texts[stop].count(" ") + 1
+            stop, words = start + 1, spaces[start]
+            while stop < len(texts) and words + spaces[stop] < BLOCK_WORDS:
+                words += spaces[stop] + 1
                 stop += 1
             part = texts[start:stop]
             keys = np.array([row_key(d, seed) for d in doc_ids[start:stop]], U)
+            spelt = [t.encode("utf-8", "surrogatepass") for t in part] if check else []
             with np.errstate(all="ignore"):
                 for sample, (docs, ids, ends, log_p, level, inclusion) in enumerate(sample_block(part, keys, trie, vocabulary, k)):
                     starts = np.concatenate([[0], ends[:-1]])
-                    exact = [decode_ids(ids[a:b].tolist(), vocabulary.bytes) == part[d] for d, a, b in zip(docs.tolist(), starts.tolist(), ends.tolist(), strict=True)] if check else [None] * len(docs)
+                    exact = decodes(ids, starts, ends, docs, spelt, vocabulary.bytes, widths) if check else [None] * len(docs)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([doc_ids[start + d] for d in docs.tolist()], pa.int64()), pa.array(np.full(len(docs), sample, np.int32)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32))), pa.array(log_p), pa.array(level), pa.array(inclusion), pa.array(exact, pa.bool_())],
                         schema=schema,
