@@ -28,11 +28,14 @@ LANDING = T.StructType([
     T.StructField("row", T.LongType()),
 ])
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Without fallocate, an instance takes the disk that its data needs, not 4 MB or more from the start.
+#: Without fallocate, an instance takes the disk that its data needs, not 4 MB or more from the start; all instances of an
+#: executor share one bound of memory.
 STORE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
 }
 
 
