@@ -73,7 +73,7 @@ def domain(col: Column) -> Column:
 
 
 def human_size(col: Column) -> Column:
-    unit = lambda power, name: F.format_string(f"%.2f {name}", col / F.lit(float(1024**power)))
+    unit = lambda power, name: F.format_string(f"%.2f {name}", F.bround(col / F.lit(float(1024**power)), 2))  # noqa: E731  halves go to even
     return F.when(col < 1024, F.format_string("%d bytes", col)).when(col < 1024**2, unit(1, "KB")).when(col < 1024**3, unit(2, "MB")).otherwise(unit(3, "GB"))
 
 

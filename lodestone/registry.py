@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import kernels, similarity, text
-from lodestone.operators import doctype, email, forensics, pii, ranking, structure, text_quality
+from lodestone.operators import doctype, email, forensics, neighbors, pii, ranking, structure, text_quality
 from lodestone.plans import schema
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -505,6 +505,15 @@ def pixel_metrics(spark, d):
     return docs.select("doc_id", m.alias("m")).select("doc_id", F.round("m.noise_mean_spread", 6).alias("noise_mean_spread"), F.round("m.ghost_ratio", 6).alias("ghost_ratio"), F.round("m.discontinuity_ratio", 6).alias("discontinuity_ratio"), F.array_join(forensics.pixel_rules(F.col("m")), "; ").alias("indicators"))
 
 
+@query("""WITH d AS (SELECT q.vec_id AS query_id, e.vec_id AS neighbor_id, sqrt(list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: (q.embedding[i]::DOUBLE - e.embedding[i]::DOUBLE) * (q.embedding[i]::DOUBLE - e.embedding[i]::DOUBLE)))) AS distance
+FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS n FROM d),
+g AS (SELECT query_id, max(CASE WHEN n = 1 THEN neighbor_id END) AS neighbor_id, max(CASE WHEN n = 1 THEN distance END) AS first, max(CASE WHEN n = 2 THEN distance END) AS second FROM r WHERE n <= 2 GROUP BY 1)
+SELECT query_id, neighbor_id, round(first, 4) AS first, round(second, 4) AS second, first < 0.7 * second AS matches FROM g""")
+def knn_ratio_match(spark, d):
+    rows = table(spark, d, "embeddings")
+    return neighbors.ratio_matches(rows.filter("vec_id % 100 = 0"), rows).select("query_id", "neighbor_id", F.round("first", 4).alias("first"), F.round("second", 4).alias("second"), "matches")
+
+
 # --- schemas ----------------------------------------------------------------------------------------------------------
 
 ORDER_SCHEMA = {
