@@ -14,6 +14,8 @@ grouping its rows by their whole text.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,15 +41,22 @@ STORE_CONF = {
 }
 
 
+#: Plan nodes over a Parquet scan that neither repeat nor merge rows, so that file and row still name one row.
+PLAIN_NODES = {"Relation", "Project", "Filter", "SubqueryAlias", "View"}
+
+
 def located(docs: DataFrame) -> DataFrame:
     """docs with a stable content locator: file and row of the Parquet it comes from; other inputs are written first."""
     def with_place(df: DataFrame) -> DataFrame:
         return df.select("*", F.col("_metadata.file_path").alias("_ls_file"), F.col("_metadata.row_index").alias("_ls_row"))
 
-    try:
-        return with_place(docs)
-    except AnalysisException:
-        return with_place(keep(docs, "located"))
+    plan = docs._jdf.queryExecution().analyzed().toString().splitlines()
+    if {m.group(1) for line in plan if (m := re.match(r"[\s:+|-]*(\w+)", line))} <= PLAIN_NODES:
+        try:
+            return with_place(docs)
+        except AnalysisException:
+            pass  # a source without row numbers
+    return with_place(keep(docs, "located"))
 
 
 def normalised(text: Column) -> Column:

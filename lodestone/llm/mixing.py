@@ -143,7 +143,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     spread = 16  # a shard is written by so many tasks
     return (
         with_taken(keyed, planned, seed, whole_documents=True)
-        .withColumn("copy", F.explode(F.slice(F.expr("array(0, 1, 2, 3, 4, 5, 6, 7)"), F.lit(1), copies)) if options.get("epochs", EPOCHS) <= 8 else F.explode(F.filter(F.sequence(F.lit(0), copies), lambda x: x < copies)))
+        .withColumn("copy", F.explode(F.filter(F.sequence(F.lit(0), copies), lambda i: i < copies)))
         .withColumn("shard", F.coalesce(F.try_element_at("shards", F.col("copy") + 1), F.lit(0)))
         .withColumn("order", F.xxhash64(F.lit(seed + 2), "doc_id", "copy"))
         .repartition(shards * spread, "shard", F.pmod("order", F.lit(spread)))

@@ -51,3 +51,11 @@ def test_state_continues_over_later_files(spark, tmp_path):
         exact_dedup.land(exact_dedup.located(docs), landing)
         state = exact_dedup.advance(spark, landing, checkpoint).collect()
     assert [(r.keeper.doc_id, r.group_size) for r in state] == [(3, 3)]
+
+
+def test_inputs_that_repeat_rows_of_a_file(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, "B")], "doc_id long, text string").write.parquet(f"{tmp_path}/t")
+    twice = spark.read.parquet(f"{tmp_path}/t").selectExpr("doc_id", "explode(array(text, text, lower(text))) AS text")
+    assert sorted(exact_dedup.deduplicate(twice).toPandas()["text"].str.lower()) == ["a", "b"]
+    direct = spark.read.parquet(f"{tmp_path}/t").filter("doc_id > 0")
+    assert exact_dedup.located(direct).inputFiles() == direct.inputFiles()
