@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -65,8 +66,24 @@ def word_count(col: Column) -> Column:
     return F.when(n == 1, 1 - edge(1)).otherwise(n - edge(1) - edge(-1)).cast("long")
 
 
-def slices(batches, rows: int = 2000):
+def slices(batches, rows: int = 1000):
     """Arrow batches in pieces of so many rows at most, so that a Python worker holds the objects of one piece."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+            give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, as idle Python workers stay beside the executor."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts are long rows: Arrow batches of the default 10,000 of them are large off the heap and in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(rows))

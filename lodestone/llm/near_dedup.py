@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, keep, read_table, slices
+from .common import BROADCAST_BYTES, keep, read_table, slices, small_batches
 from .shingles import WordHashes, bands_of, chunks, set_key, shingle_set, signatures
 
 BANDS, ROWS, SHINGLE, SIMILARITY = 40, 6, 5, 80
@@ -247,6 +247,7 @@ def links(docs: DataFrame, nodes: DataFrame, banded: DataFrame, k: int, similari
 
 def report(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block_rows: int = BLOCK_ROWS, forest_edges: int = FOREST_EDGES) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed_rows = keep(docs.mapInArrow(functools.partial(sign_batches, k=shingle, bands=bands, rows=rows), "doc_id long, n long, hi long, lo long, bands array<long>"), "signatures")
     by_set = signed_rows.filter("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("doc_id"))

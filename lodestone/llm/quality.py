@@ -21,10 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import give_back, read_table, small_batches
 
 BUCKETS, SAMPLE, STEPS, RIDGE = 1 << 17, 4000, 250, 1e-5
-LIMIT = 400_000
+LIMIT = 100_000
 UPPER, LOWER, DIGIT = re.compile(rb"[A-Z]+"), re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[0-9]+")
 REPEATED, LENGTH, LENGTHS = BUCKETS - 40, BUCKETS - 32, 32
 
@@ -126,6 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "quality", sample: int
 
 def scored(docs: DataFrame, model: Model, least: int | None = None) -> DataFrame:
     """docs with expected_grade and tail: P(grade >= least), by default of the highest grade."""
+    small_batches(docs.sparkSession)
     least = model.grades[-1] if least is None else least
     above = next((i for i, g in enumerate(model.grades) if g >= least), len(model.grades))
     held = docs.sparkSession.sparkContext.broadcast((model.grades, model.weights, model.thresholds))
@@ -136,6 +137,8 @@ def scored(docs: DataFrame, model: Model, least: int | None = None) -> DataFrame
 
         model, known = Model(*held.value), WordFeatures()
         tails = model.tails(np.array([model.margin(t, known) for t in texts], np.float64))
+        known.clear()
+        give_back()
         whole = np.concatenate([np.ones((len(tails), 1)), tails, np.zeros((len(tails), 1))], axis=1)
         return pd.DataFrame({"expected_grade": model.grades[0] + tails @ np.diff(np.array(model.grades, np.float64)), "tail": whole[:, above]})
 

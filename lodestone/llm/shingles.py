@@ -16,7 +16,7 @@ GOLD, MIX1, MIX2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133
 class WordHashes(dict):
     """word -> 64-bit hash, forgotten when there are too many to hold."""
 
-    LIMIT = 400_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word)

@@ -28,10 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, slices
+from .common import read_table, slices, small_batches
 
 MODEL, SAMPLES, SEED, ZIPF = "/opt/tokenizers/piece_bpe_32k.model", 2, 7, 10.0
-SPACE, BLOCK_WORDS = "▁", 100_000
+SPACE, BLOCK_WORDS = "▁", 40_000
 #: Steps looked at first, and the largest Gumbel that `uniform` can give, rounded up.
 WINDOW, NOISE = 96, 37.0
 #: Most pieces that end at a place have at most so many characters; sums over longer ones are made only where there are some.
@@ -492,6 +492,7 @@ def encode_batches(batches, plain: tuple, k: int, seed: int, check: bool):
 
 def encode(docs: DataFrame, k: int = SAMPLES, model: str = MODEL, seed: int = SEED, check: bool = False) -> DataFrame:
     """doc_id, sample (from 0, by falling perturbed value), ids, log_prob, perturbed, log_inclusion; with check, exact: it decodes to the text."""
+    small_batches(docs.sparkSession)
     vocabulary = Vocabulary.load(model)
     held = docs.sparkSession.sparkContext.broadcast((vocabulary.plain(), Trie.build(vocabulary).plain()))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -28,7 +28,7 @@ from .common import read_table
 
 SAMPLE, TOXIC, SEQUENCES, FEATURES, STEPS, RIDGE = 20_000, 4000, 800, 20_000, 60, 2e-3
 OPENINGS = (3, 4, 5, 6)
-LIMIT = 400_000
+LIMIT = 100_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGES = " \t\n\r\x0b\x0c.,;:!?\"'()[]{}<>*#$%&|-_=+/\\~`^@“”«»…"
 
