@@ -176,10 +176,10 @@ def components(edges: DataFrame, forest_edges: int = FOREST_EDGES) -> DataFrame:
     while edges.count() > forest_edges:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = keep(both.groupBy("a").agg(F.min("b").alias("to")).filter("to < a").select(F.col("a").alias("v"), F.col("to").alias("root")), "step")
-        labels = step if labels is None else keep(relabelled(labels, step).unionByName(step), "labels")
+        labels = step if labels is None else keep(with_step(labels, step), "labels")
         edges = keep(mapped(mapped(edges, step, "a"), step, "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     last = keep(edges.coalesce(1).mapInArrow(forest_batches, "v long, root long"), "forest")
-    return last if labels is None else keep(final_labels(labels, last), "labels")
+    return last if labels is None else keep(with_step(labels, last), "labels")
 
 
 def mapped(edges: DataFrame, step: DataFrame, end: str) -> DataFrame:
@@ -192,8 +192,9 @@ def relabelled(labels: DataFrame, step: DataFrame) -> DataFrame:
     return labels.join(to, "root", "left").select("v", F.coalesce("_to", "root").alias("root"))
 
 
-def final_labels(labels: DataFrame, last: DataFrame) -> DataFrame:
-    return relabelled(labels, last).unionByName(last.join(labels, "v", "left_anti"))
+def with_step(labels: DataFrame, step: DataFrame) -> DataFrame:
+    """A row per node: one that moved before, and was since the end another node moved to, keeps its row, whose root moves."""
+    return relabelled(labels, step).unionByName(step.join(labels, "v", "left_anti"))
 
 
 def fits(df: DataFrame, bytes_per_row: int) -> bool:

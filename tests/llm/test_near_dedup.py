@@ -62,6 +62,16 @@ def test_components_match_brute_force(spark, seed, k, block_rows, forest):
     assert got == sorted(brute(rows, k), key=str)
 
 
+@pytest.mark.parametrize("forest", [0, 1])
+def test_chains_have_one_label_a_node(spark, forest):
+    rng = np.random.default_rng(forest)
+    mixed = rng.permutation(np.arange(100, 140)).tolist()  # a long chain that needs several rounds
+    pairs = [(1, 2), (2, 3), *((i, i + 1) for i in range(10, 16)), *zip(mixed, mixed[1:], strict=False)]
+    got = near_dedup.components(spark.createDataFrame([(min(p), max(p)) for p in pairs], "a long, b long"), forest).collect()
+    want = {2: 1, 3: 1} | {i: 10 for i in range(11, 17)} | {i: 100 for i in range(101, 140)}
+    assert sorted((r.v, r.root) for r in got) == sorted(want.items())
+
+
 def test_deduplicate_keeps_one_of_each_group_with_its_columns(spark):
     rows = [r for r in rows_of(4) if r[0] is not None]
     got = near_dedup.deduplicate(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA))
