@@ -1,8 +1,9 @@
 """Document fingerprints by I-Match over a chosen inverse-document-frequency band and randomised subsets of that lexicon.
 
 A pass over all documents counts each term's documents (terms: runs of anything but ASCII space and punctuation, in
-lower case, by hash in TERM_BUCKETS buckets, so that the count table has a fixed size; a bucket's terms share their
-count). The lexicon is the buckets whose share of documents lies in BAND. A document's distinct lexicon terms, sorted,
+lower case, by 64-bit hash). The lexicon is the terms whose share of documents lies in BAND, so that it has at most
+1 / BAND[0] times as many terms as a document has on average, at any scale. Up to LEXICON_TERMS of them go along as a
+table in the expression, more are met by a shuffle. A document's distinct lexicon terms, sorted,
 are hashed whole, and again within SUBSETS random subsets that keep a term with odds 1/4, 1/16, 1/64 and 1/256: after an edit
 some subset of a fitting size still has the same terms, however long the text. A text without lexicon terms has the
 hash of itself. The fingerprint is 65 hashes of 6 hex digits; zeros mark an empty subset.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import keep, read_table
 
-TERM_BUCKETS, BAND, SUBSETS, ODDS, WIDTH = 1 << 18, (0.0005, 0.1), 16, (4, 16, 64, 256), 6
+TERM_BUCKETS, LEXICON_TERMS, BAND, SUBSETS, ODDS, WIDTH = 1 << 64, 200_000, (0.0005, 0.1), 16, (4, 16, 64, 256), 6
 TERM_BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 EMPTY, NO_ID = "0" * WIDTH, -(1 << 63)
 RANGE_ROWS, MAX_RANGES = 4096, 1024
@@ -37,15 +38,56 @@ def term_hashes(text: Column) -> Column:
     return F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit("")))
 
 
-def lexicon(texts: DataFrame, band: tuple[float, float] = BAND) -> bytes:
-    """A byte per bucket: 1 if its share of the documents lies in the band. texts: text."""
-    counted = texts.select(F.explode(F.array_distinct(F.transform(term_hashes(F.col("text")), lambda h: F.pmod(h, F.lit(TERM_BUCKETS)).cast("int")))).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+def lexicon(texts: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
+    """The terms whose share of the documents lies in the band: term. texts: text."""
+    counted = texts.select(F.explode(term_hashes(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     documents = texts.count()
-    inside = counted.filter((F.col("n") >= band[0] * documents) & (F.col("n") <= max(1.0, band[1] * documents)))
-    flags = bytearray(TERM_BUCKETS)
-    for bucket in inside.agg(F.collect_list("bucket")).first()[0]:
-        flags[bucket] = 1
-    return bytes(flags)
+    return keep(counted.filter((F.col("n") >= band[0] * documents) & (F.col("n") <= max(1.0, band[1] * documents))).select("term"), "lexicon")
+
+
+def places(term: int, slots: int) -> tuple[int, int]:
+    return term % slots, (term >> 32) % slots
+
+
+def table_of(terms: list[int]) -> bytes:
+    """A cuckoo table: each term, in 8 bytes, is at one of its two places; free slots repeat the first term."""
+    slots = 1 << (5 * len(terms) // 2).bit_length()
+    while True:
+        held: dict[int, int] = {}
+        for term in terms:
+            at = places(term, slots)[0]
+            for _ in range(500):
+                if at not in held:
+                    break
+                term, held[at] = held[at], term
+                first, second = places(term, slots)
+                at = second if at == first else first
+            if at in held:
+                break
+            held[at] = term
+        else:
+            free = terms[0].to_bytes(8, "big", signed=True)
+            return b"".join(held[i].to_bytes(8, "big", signed=True) if i in held else free for i in range(slots))
+        slots *= 2
+
+
+def in_lexicon(rows: DataFrame, text: str, known: DataFrame, table: bytes | None) -> DataFrame:
+    """rows (k, th, which stand for the text, and others) with terms: the text's terms that are known, sorted."""
+    if table is None:
+        met = rows.select("k", "th", F.explode(term_hashes(F.col(text))).alias("term")).join(known, "term", "left_semi").groupBy("k", "th").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+        return rows.join(met, ["k", "th"], "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<long>")))
+    if not table:
+        return rows.withColumn("terms", F.array().cast("array<long>"))
+    slots = len(table) // 8
+
+    def at(h: Column) -> Column:
+        return F.substring(F.lit(table), F.pmod(h, F.lit(slots)).cast("int") * 8 + 1, F.lit(8))
+
+    def is_known(h: Column) -> Column:
+        plain = F.unhex(F.lpad(F.hex(h), 16, "0"))
+        return (at(h) == plain) | (at(F.shiftright(h, 32)) == plain)
+
+    return rows.withColumn("terms", F.sort_array(F.filter(term_hashes(F.col(text)), is_known)))
 
 
 def short_hash(values: Column) -> Column:
@@ -57,10 +99,7 @@ def bound(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def fingerprint(text: Column, flags: bytes) -> Column:
-    known = F.lit(flags)
-    terms = F.sort_array(F.filter(term_hashes(text), lambda h: F.substring(known, F.pmod(h, F.lit(TERM_BUCKETS)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")))
-
+def fingerprint(text: Column, terms: Column) -> Column:
     def subset(terms: Column, i: Column, level: int = 0) -> Column:
         """Hashes of nested subsets: each level thins the one before."""
         kept = F.filter(terms, lambda t: F.pmod(F.xxhash64(i, t), F.lit(ODDS[level])) == 0)
@@ -109,8 +148,11 @@ def chain(nodes: DataFrame) -> DataFrame:
 def report(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     base = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), text.alias("text"), F.xxhash64(text).alias("th"))
-    flags = lexicon(base.select("text"), band)
-    rows = keep(base.select("k", "th", F.char_length("text").cast("long").alias("n_chars"), F.unhex(fingerprint(F.col("text"), flags)).alias("fp")), "fingerprints")
+    known = lexicon(base.select("text"), band)
+    table = None
+    if (n := known.count()) <= LEXICON_TERMS:
+        table = table_of(known.agg(F.collect_list("term")).first()[0]) if n else b""
+    rows = keep(in_lexicon(base, "text", known, table).select("k", "th", F.char_length("text").cast("long").alias("n_chars"), F.unhex(fingerprint(F.col("text"), F.col("terms"))).alias("fp")), "fingerprints")
     linked = keep(chain(rows.dropDuplicates(["k", "th"])), "chain")
     openings = (
         base.join(linked.select("k", "th", "prev_k", "prev_th", "need"), ["k", "th"])
@@ -119,10 +161,13 @@ def report(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
         .select("k", "th", F.col("opening.text").alias("opening"), F.col("opening.doc_id").alias("next_id"))
     )
     edited = F.concat(F.expr("left(text, cast(n_chars - floor(n_chars / 3) as int))"), F.expr("left(opening, cast(floor(n_chars / 3) as int))"))
-    return (
+    pairs = (
         base.join(linked.select("k", "th", "n_chars", "fp", "near_next"), ["k", "th"]).join(openings, ["k", "th"])
-        .select("doc_id", "n_chars", told(F.col("fp")).alias("fingerprint"), "near_next", "next_id", edited.alias("edited"))
-        .withColumn("edited_fingerprint", fingerprint(F.col("edited"), flags))
+        .select("k", "th", "doc_id", "n_chars", told(F.col("fp")).alias("fingerprint"), "near_next", "next_id", edited.alias("edited"))
+    )
+    return (
+        in_lexicon(pairs, "edited", known, table)
+        .withColumn("edited_fingerprint", fingerprint(F.col("edited"), F.col("terms")))
         .select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), "near_next", "next_id")
     )
 

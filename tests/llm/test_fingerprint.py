@@ -78,3 +78,26 @@ def test_small_tables(spark):
     assert fp.report(spark.createDataFrame([], SCHEMA)).count() == 0
     r = fp.report(spark.createDataFrame([(1, "abc def", "", 0)], SCHEMA)).first()
     assert (r.near_next, r.edited_sha256) == (1.0, hashlib.sha256(b"abc dab").hexdigest())
+
+
+@pytest.mark.parametrize("table_terms", [200_000, 0])
+def test_terms_that_share_a_bucket_are_counted_apart(spark, monkeypatch, table_terms):
+    """Of two terms whose hashes are equal modulo 2^18, one is in the band; it alone is in the fingerprint."""
+    monkeypatch.setattr(fp, "LEXICON_TERMS", table_terms)
+    seen = {}
+    for i in range(10_000):
+        a, b = seen.setdefault(h(f"w{i}") % (1 << 18), f"w{i}"), f"w{i}"
+        if a != b:
+            break
+    rows = [(i, f"{b} only{i}" if i == 0 else f"{a} only{i}") for i in range(20)]  # 19 of 20 hold a, beyond the band
+    got = {r.doc_id: r.fingerprint for r in fp.report(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)).collect()}
+    every = {x % fp.TERM_BUCKETS for _, t in rows for x in terms(t)} - {signed(h(a)) % fp.TERM_BUCKETS}
+    assert got == {i: brute(t, every) for i, t in rows}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 1000, 50_000])
+def test_table_has_each_term_at_one_of_its_places(n):
+    all_terms = [signed(h(f"w{i}")) for i in range(n)]
+    table = fp.table_of(all_terms)
+    slots = [int.from_bytes(table[i : i + 8], "big", signed=True) for i in range(0, len(table), 8)]
+    assert set(slots) == set(all_terms) and all(t in [slots[p] for p in fp.places(t, len(slots))] for t in all_terms)
