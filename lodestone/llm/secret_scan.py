@@ -123,7 +123,9 @@ def value_after(text: str, at: int) -> tuple[list[tuple[int, int]], list[str], i
 
 def lexed_spans(text: str) -> list[tuple[int, int, str, float]]:
     """Literals with the name that makes them sensitive and their score."""
-    known: dict[str, list[tuple[int, int]]] = {}
+    known: dict[str, int] = {}  # the last assignment to each name
+    made: list[tuple[list[tuple[int, int]], list[int], bool]] = []  # an assignment's literals, those it refers to, whether any literal is behind it
+    top: list[tuple[float, str]] = []
     best: dict[tuple[int, int], tuple[float, str]] = {}
     pos = 0
     while m := OPERATOR.search(text, pos):
@@ -132,18 +134,22 @@ def lexed_spans(text: str) -> list[tuple[int, int, str, float]]:
         if not name:
             continue
         literals, names, end = value_after(text, pos)
-        reached = [s for ref in names for s in known.get(ref, ())]
+        reached = [known[ref] for ref in dict.fromkeys(names) if ref in known and made[known[ref]][2]]
         if reached:
             literals = [s for s in literals if text[s[0] : s[1]] not in known]
-        spans = list(dict.fromkeys(literals + reached))
-        known[name] = spans[:64]
+        known[name] = len(made)
+        made.append((literals, reached, bool(literals or reached)))
         weight = name_score(name)
-        if weight:
-            for s in spans:
-                best[s] = max(best.get(s, (0.0, "")), (weight, name))
+        top.append((weight, name) if weight else (0.0, ""))
         pos = max(pos, end if literals or names else pos)
         if text[pos - 1 : pos] in ("=", ":") and pos > m.end():
             pos -= 1
+    for i in range(len(made) - 1, -1, -1):  # references go back only, so each assignment's weight is final when it is met
+        if top[i][0]:
+            for s in made[i][0]:
+                best[s] = max(best.get(s, (0.0, "")), top[i])
+            for j in made[i][1]:
+                top[j] = max(top[j], top[i])
     scored = ((s, name, weight + literal_score(text[s[0] : s[1]])) for s, (weight, name) in best.items())
     return sorted((a, b, name, round(score, 3)) for (a, b), name, score in scored if score >= LEAST)
 

@@ -55,6 +55,14 @@ def test_names_literals_and_constants():
     assert lexed(f'password="{secret}"') == []  # the base span covers it
 
 
+def test_no_literal_of_a_name_is_forgotten():
+    secret = "q8Zk3mPw9sLx2vRt"
+    parts = [f"q8Zk3mPw{i:05}" for i in range(20_000)]
+    assert lexed(f'x = "{secret}"\n' + "".join(f'x = x + "{p}"\n' for p in parts) + "db.password = x") == [secret, *parts]
+    joined = " + ".join(f'"{p}"' for p in parts[:100])
+    assert lexed(f"x = {joined}\ndb.password = x") == parts[:100]
+
+
 @given(st.text(alphabet="pastokenwrdAKI0f1=:\"'+ \n$_{}é.-", max_size=80))
 @settings(max_examples=400, deadline=None)
 def test_any_text(text):
