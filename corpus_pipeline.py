@@ -29,8 +29,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of each document."""
-    return subword.encode(docs)
+    """Sampled segmentations of each document, each decoded again; `exact` tells whether that gave the text."""
+    return subword.encode(docs, check=True)
 
 
 STAGES = [

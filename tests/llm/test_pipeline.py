@@ -71,3 +71,9 @@ def test_stages(spark, brute):
 def test_run_gives_the_last_stage(spark, brute):
     got = corpus_pipeline.run(spark, SF)
     assert got.columns[:3] == ["doc_id", "sample", "ids"] and {r.doc_id for r in got.select("doc_id").collect()} <= brute[-1]
+
+
+def test_last_stage_decodes_what_it_encodes(spark):
+    docs = spark.createDataFrame([(1, "Some words, é and 漢字."), (2, ""), (3, None)], "doc_id long, text string")
+    got = corpus_pipeline.sentencepiece_encoding(spark, docs, SF).collect()
+    assert {r.doc_id for r in got} == {1, 2, 3} and all(r.exact is True for r in got)
