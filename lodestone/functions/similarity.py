@@ -6,6 +6,7 @@ subsequence is bit-parallel, a big-integer step per character, in an Arrow UDF.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,6 +27,58 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - state.bit_count()
 
 
+def lcs_lengths(patterns: list[str], texts: list[str], rows: int = 8192) -> np.ndarray:
+    """Longest common subsequences of all patterns with all texts: the bit-parallel step for many texts at once.
+
+    Texts go in groups of like length, so that padding at most doubles the work."""
+    out = np.zeros((len(patterns), len(texts)), np.int64)
+    order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+    start = 0
+    while start < len(order):
+        limit, stop = 2 * max(8, len(texts[order[start]])), start
+        while stop < len(order) and stop - start < rows and len(texts[order[stop]]) <= limit:
+            stop += 1
+        group = order[start:stop]
+        start = stop
+        sizes = np.array([len(texts[i]) for i in group])
+        if not sizes[-1]:
+            continue
+        letters, coded = np.unique(np.frombuffer("".join(texts[i] for i in group).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+        owner = np.repeat(np.arange(len(group)), sizes)
+        place = np.arange(len(coded)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        columns = np.zeros((int(sizes[-1]), len(group)), np.int32)  # 0 is no letter
+        columns[place, owner] = coded + 1
+        spot = {chr(c): k + 1 for k, c in enumerate(letters.tolist())}
+        for at, pattern in enumerate(patterns):
+            words = -(-len(pattern) // 64)
+            where = [[0] * (len(letters) + 1) for _ in range(words)]
+            for i, c in enumerate(pattern):
+                if c in spot:
+                    where[i >> 6][spot[c]] |= 1 << (i & 63)
+            where = np.array(where, np.uint64).reshape(words, len(letters) + 1)
+            state = np.full((words, len(group)), np.iinfo(np.uint64).max, np.uint64)
+            for column in columns:
+                carry = None
+                for w in range(words):
+                    hit = state[w] & where[w].take(column)
+                    total = state[w] + hit
+                    if words > 1:
+                        over = total < hit
+                        if carry is not None:
+                            total += carry
+                            over |= (total == 0) & (carry == 1)
+                        carry = over.astype(np.uint64)
+                    state[w] = total | (state[w] ^ hit)
+            out[at, group] = 64 * words - np.bitwise_count(state).sum(axis=0, dtype=np.int64)
+    return out
+
+
+def indel_ratios(patterns: list[str], texts: list[str]) -> np.ndarray:
+    """The Indel ratio of all patterns with all texts."""
+    sizes = np.array([len(x) for x in patterns], np.int64)[:, None] + np.array([len(x) for x in texts], np.int64)[None, :]
+    return np.where(sizes > 0, 2 * lcs_lengths(patterns, texts) / np.maximum(sizes, 1), 1.0)
+
+
 def indel(a: str | None, b: str | None) -> float | None:
     """Null for a null side; two empty texts are equal."""
     if a is None or b is None:

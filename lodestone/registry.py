@@ -258,7 +258,41 @@ def token_idf(spark, d):
     return ranking.token_idf(part_candidates(spark, d)).select("term", F.round("idf", 6).alias("idf"))
 
 
-@query()
+def words(text: str) -> str:
+    return f"string_split({text}, ' ')"
+
+
+RANKED = f"""WITH RECURSIVE parts AS (SELECT p_partkey, p_name, {NORMAL.format('p_name')} AS a, {NORMAL.format('p_brand')} AS b, {NORMAL.format('p_type')} AS t FROM part),
+total AS (SELECT count(*)::DOUBLE AS n FROM parts),
+common AS (SELECT token FROM (SELECT unnest({words("a || ' ' || b || ' ' || t")}) AS token FROM parts) WHERE length(token) > 2 AND NOT regexp_full_match(token, '[0-9]+') GROUP BY token HAVING count(*) >= (SELECT greatest(1, floor(n * 0.05)) FROM total)),
+two AS (SELECT {words("a || ' ' || b")} AS w FROM parts),
+terms AS (SELECT unnest(list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))) AS term FROM two),
+idf AS (SELECT term, ln((1 + (SELECT n FROM total)) / (1 + count(*))) + 1 AS idf FROM terms GROUP BY term HAVING count(*) <= 0.8 * (SELECT n FROM total)),
+model AS (SELECT max(idf) AS top, quantile_cont(idf, 0.75) AS rare FROM idf),
+c_names AS (SELECT p_partkey, unnest([a, b, t || ' ' || a, a || ' ' || t]) AS name FROM parts),
+q_names AS (SELECT p_partkey, a || ' company' AS name FROM parts WHERE p_partkey % 100 = 0),
+names AS (SELECT DISTINCT name FROM (SELECT name FROM c_names UNION ALL SELECT name FROM q_names)),
+tokens AS (SELECT DISTINCT name, unnest({words('name')}) AS token FROM names),
+weights AS (SELECT name, token, coalesce(idf, top) AS w, coalesce(idf, top) > rare AS is_rare FROM tokens LEFT JOIN idf ON term = token CROSS JOIN model),
+whole AS (SELECT name, sum(w) AS w FROM weights GROUP BY name),
+forms AS (SELECT name, array_to_string(list_sort({words('name')}), ' ') AS s, array_to_string(list_sort(list_filter({words('name')}, lambda x: length(x) > 1 AND NOT list_contains(every, x))), ' ') AS o FROM names CROSS JOIN (SELECT coalesce(list(token), []) AS every FROM common)),
+shown AS (SELECT name, s, CASE WHEN (SELECT count(*) FROM common) = 0 THEN s ELSE o END AS o FROM forms),
+pairs AS (SELECT q.name AS q, c.name AS c, q.s AS qs, c.s AS cs, q.o AS qo, c.o AS co FROM shown q, shown c WHERE q.name IN (SELECT name FROM q_names) AND c.name IN (SELECT name FROM c_names)),
+texts AS (SELECT qs AS x, cs AS y FROM pairs UNION SELECT qo, co FROM pairs),
+f AS (SELECT x, y, 0 AS i, list_transform(range(0, widest + 1), lambda z: 0) AS row FROM texts CROSS JOIN (SELECT max(length(y)) AS widest FROM texts) UNION ALL
+SELECT x, y, i + 1, list_reduce(range(1, len(row)), lambda r, j: list_append(r, CASE WHEN substr(x, i + 1, 1) = substr(y, j, 1) THEN row[j] + 1 ELSE greatest(row[j + 1], r[j]) END), [0]) FROM f WHERE i < length(x)),
+ratio AS (SELECT x, y, CASE WHEN length(x) + length(y) = 0 THEN 1.0 ELSE 2.0::DOUBLE * row[length(y) + 1] / (length(x) + length(y)) END AS r FROM f WHERE i = length(x)),
+met AS (SELECT x.name AS q, y.name AS c, sum(x.w) AS w, sum(CASE WHEN x.is_rare THEN 1 ELSE 0 END) AS n_rare FROM weights x JOIN weights y USING (token) GROUP BY 1, 2),
+scored AS (SELECT p.q, p.c, greatest(a.r, CASE WHEN p.qo = '' OR p.co = '' THEN 0 ELSE b.r END) AS letters, CASE WHEN m.w > 0 THEN least(1.0, m.w / (k.w + 0.3 * (e.w - m.w)) * power(1.3, m.n_rare)) END AS by_tokens
+FROM pairs p JOIN ratio a ON a.x = p.qs AND a.y = p.cs JOIN ratio b ON b.x = p.qo AND b.y = p.co LEFT JOIN met m ON m.q = p.q AND m.c = p.c JOIN whole k ON k.name = p.q JOIN whole e ON e.name = p.c),
+best AS (SELECT q, c, CASE WHEN by_tokens IS NULL THEN letters ELSE 0.7 * by_tokens + 0.3 * letters END AS s FROM scored),
+of_part AS (SELECT b.q, n.p_partkey, max(b.s) AS s FROM best b JOIN c_names n ON n.name = b.c GROUP BY 1, 2),
+final AS (SELECT n.p_partkey AS query_id, o.p_partkey, round(0.55 * o.s + CASE WHEN o.p_partkey % 100 = n.p_partkey % 100 THEN 0.15 ELSE 0 END, 12) AS s FROM q_names n JOIN of_part o ON o.q = n.name),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, p_partkey) AS position FROM final WHERE s > 0.1)
+SELECT CAST(query_id AS VARCHAR) AS query_id, CAST(position AS INTEGER) AS position, CAST(placed.p_partkey AS VARCHAR) AS provider_id, p_name AS name, round(s, 6) AS similarity_score FROM placed JOIN parts ON parts.p_partkey = placed.p_partkey WHERE position <= 10"""
+
+
+@query(RANKED)
 def rank_topn(spark, d):
     return ranking.rank(part_queries(spark, d), part_candidates(spark, d)).select("query_id", "position", "provider_id", "name", F.round("similarity_score", 6).alias("similarity_score"))
 
