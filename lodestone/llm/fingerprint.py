@@ -3,7 +3,7 @@
 A pass over all documents counts each term's documents (terms: runs of anything but ASCII space and punctuation, in
 lower case, by 64-bit hash). The lexicon is the terms whose share of documents lies in BAND, so that it has at most
 1 / BAND[0] times as many terms as a document has on average, at any scale. Up to LEXICON_TERMS of them go along as a
-table in the expression, more are met by a shuffle. A document's distinct lexicon terms, sorted,
+table (a scalar subquery), more are met by a shuffle. A document's distinct lexicon terms, sorted,
 are hashed whole, and again within SUBSETS random subsets that keep a term with odds 1/4, 1/16, 1/64 and 1/256: after an edit
 some subset of a fitting size still has the same terms, however long the text. A text without lexicon terms has the
 hash of itself. The fingerprint is 65 hashes of 6 hex digits; zeros mark an empty subset.
@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import keep, read_table
 
-TERM_BUCKETS, LEXICON_TERMS, BAND, SUBSETS, ODDS, WIDTH = 1 << 64, 200_000, (0.0005, 0.1), 16, (4, 16, 64, 256), 6
+LEXICON_TERMS, BAND, SUBSETS, ODDS, WIDTH = 200_000, (0.0005, 0.1), 16, (4, 16, 64, 256), 6
 TERM_BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 EMPTY, NO_ID = "0" * WIDTH, -(1 << 63)
-RANGE_ROWS, MAX_RANGES = 4096, 1024
+RANGE_ROWS, QUANTILES, BROADCAST_RANGES = 4096, 1024, 100_000
 
 
 def term_hashes(text: Column) -> Column:
@@ -45,49 +45,24 @@ def lexicon(texts: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     return keep(counted.filter((F.col("n") >= band[0] * documents) & (F.col("n") <= max(1.0, band[1] * documents))).select("term"), "lexicon")
 
 
-def places(term: int, slots: int) -> tuple[int, int]:
-    return term % slots, (term >> 32) % slots
-
-
-def table_of(terms: list[int]) -> bytes:
-    """A cuckoo table: each term, in 8 bytes, is at one of its two places; free slots repeat the first term."""
-    slots = 1 << (5 * len(terms) // 2).bit_length()
-    while True:
-        held: dict[int, int] = {}
-        for term in terms:
-            at = places(term, slots)[0]
-            for _ in range(500):
-                if at not in held:
-                    break
-                term, held[at] = held[at], term
-                first, second = places(term, slots)
-                at = second if at == first else first
-            if at in held:
-                break
-            held[at] = term
-        else:
-            free = terms[0].to_bytes(8, "big", signed=True)
-            return b"".join(held[i].to_bytes(8, "big", signed=True) if i in held else free for i in range(slots))
-        slots *= 2
-
-
-def in_lexicon(rows: DataFrame, text: str, known: DataFrame, table: bytes | None) -> DataFrame:
+def table_of(known: DataFrame, lists: int) -> DataFrame:
+    """table, one row: the terms in short lists by their hash modulo the number of lists, for at most LEXICON_TERMS of them."""
+    spot = F.pmod("term", F.lit(lists))
+    held = known.groupBy(spot.alias("at")).agg(F.collect_list("term").alias("terms"))
+    every = known.sparkSession.range(lists).withColumnRenamed("id", "at").join(held, "at", "left")
+    in_order = F.array_sort(F.collect_list(F.struct("at", F.coalesce("terms", F.array().cast("array<long>")).alias("terms"))))
+    return keep(every.agg(F.transform(in_order, lambda x: x["terms"]).alias("table")), "table")
+
+
+def in_lexicon(rows: DataFrame, text: str, known: DataFrame, table: DataFrame | None, lists: int) -> DataFrame:
     """rows (k, th, which stand for the text, and others) with terms: the text's terms that are known, sorted."""
     if table is None:
         met = rows.select("k", "th", F.explode(term_hashes(F.col(text))).alias("term")).join(known, "term", "left_semi").groupBy("k", "th").agg(F.sort_array(F.collect_set("term")).alias("terms"))
         return rows.join(met, ["k", "th"], "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<long>")))
-    if not table:
-        return rows.withColumn("terms", F.array().cast("array<long>"))
-    slots = len(table) // 8
-
-    def at(h: Column) -> Column:
-        return F.substring(F.lit(table), F.pmod(h, F.lit(slots)).cast("int") * 8 + 1, F.lit(8))
-
-    def is_known(h: Column) -> Column:
-        plain = F.unhex(F.lpad(F.hex(h), 16, "0"))
-        return (at(h) == plain) | (at(F.shiftright(h, 32)) == plain)
-
-    return rows.withColumn("terms", F.sort_array(F.filter(term_hashes(F.col(text)), is_known)))
+    # The table is a scalar subquery: it is worked out once and is no part of the plan's text. The projection that uses it
+    # is merged with this one, so rows do not carry it.
+    looked_up = lambda t: F.sort_array(F.filter(term_hashes(F.col(text)), lambda h: F.array_contains(F.get(t, F.pmod(h, F.lit(lists)).cast("int")), h)))
+    return rows.withColumn("_table", table.scalar()).withColumn("terms", bound(F.col("_table"), looked_up)).drop("_table")
 
 
 def short_hash(values: Column) -> Column:
@@ -112,8 +87,10 @@ def fingerprint(text: Column, terms: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    part = lambda x, k: F.substring(x, k * WIDTH + 1, WIDTH)
-    same = lambda k: ((part(a, k) == part(b, k)) & (part(a, k) != EMPTY)).cast("int")
+    """Of two fingerprints as bytes. Both should be columns, not expressions, as their parts are cut out many times."""
+    size = WIDTH // 2
+    part = lambda x, k: F.substring(x, k * size + 1, size)
+    same = lambda k: ((part(a, k) == part(b, k)) & (part(a, k) != F.lit(bytes(size)))).cast("int")
     levels = [functools.reduce(operator.add, (same(1 + i * len(ODDS) + level) for i in range(SUBSETS))) for level in range(len(ODDS))]
     return F.when(a == b, 1.0).otherwise(F.greatest(*levels) / F.lit(float(SUBSETS)))
 
@@ -125,13 +102,20 @@ def told(fp: Column) -> Column:
 def chain(nodes: DataFrame) -> DataFrame:
     """nodes: k, th, n_chars, fp (as bytes), one row each. Adds near_next, and for the row before it prev_k, prev_th, need."""
     n = nodes.count()
-    ranges = max(1, min(MAX_RANGES, n // RANGE_ROWS))
-    bounds = nodes.agg(F.percentile_approx("k", [i / ranges for i in range(1, ranges)] or [0.5], 10_000)).first()[0] or []
-    edges = F.array(*[F.lit(b).cast("long") for b in sorted(set(bounds))]) if ranges > 1 and bounds else F.array().cast("array<long>")
+    parts = max(1, min(QUANTILES, n // RANGE_ROWS))
+    pieces = -(-n // (parts * RANGE_ROWS)) or 1  # of each part, so that ranges grow in number and not in size
+    cuts = [i / parts for i in range(1, parts)]
+    told_ = nodes.agg(F.max("k").alias("top"), F.min("k").alias("least"), (F.percentile_approx("k", cuts, 10_000) if cuts else F.lit(None)).alias("cuts")).first()
+    edges = sorted(set(told_["cuts"] or ()), reverse=True)
+    top, least = told_["top"] or 0, told_["least"] or 0
     order = [F.col("k").desc(), F.col("th").asc()]
-    ranged = nodes.withColumn("range", F.size(F.filter(edges, lambda b: b >= F.col("k"))))  # 0 has the largest ids
+    longs = lambda values: F.array(*[F.lit(v).cast("long") for v in values]).cast("array<long>")
+    part = F.size(F.filter(longs(edges), lambda b: b >= F.col("k")))  # 0 has the largest ids
+    high, low = F.get(longs([top, *edges]), part).cast("double"), F.get(longs([*edges, least]), part).cast("double")
+    piece = F.floor((high - F.col("k").cast("double")) / F.greatest(high - low, F.lit(1.0)) * pieces)
+    ranged = nodes.withColumn("range", part.cast("long") * pieces + F.least(piece, F.lit(pieces - 1)))
     row = F.struct(F.col("k"), (-F.col("th")).alias("order"), "th", "n_chars", "fp")
-    ends = ranged.groupBy("range").agg(F.max(row).alias("first"), F.min(row).alias("last"))  # MAX_RANGES rows at most
+    ends = ranged.groupBy("range").agg(F.max(row).alias("first"), F.min(row).alias("last"))
     by_range = Window.orderBy("range")
     all_ranges = by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ends = ends.select("range", F.coalesce(F.lead("first").over(by_range), F.first("first").over(all_ranges)).alias("after"), F.coalesce(F.lag("last").over(by_range), F.last("last").over(all_ranges)).alias("before"))
@@ -139,9 +123,10 @@ def chain(nodes: DataFrame) -> DataFrame:
     prev = F.lag(F.struct("k", "th", "n_chars")).over(inside)
     return (
         ranged.withColumn("prev", prev).withColumn("next_fp", F.lead("fp").over(inside))
-        .join(F.broadcast(ends), "range")
+        .join(F.broadcast(ends) if parts * pieces <= BROADCAST_RANGES else ends, "range")
         .withColumn("prev", F.coalesce("prev", F.struct("before.k", "before.th", "before.n_chars")))
-        .select("k", "th", "n_chars", "fp", likeness(told(F.col("fp")), told(F.coalesce("next_fp", F.col("after.fp")))).alias("near_next"), F.col("prev.k").alias("prev_k"), F.col("prev.th").alias("prev_th"), F.floor(F.col("prev.n_chars") / 3).cast("int").alias("need"))
+        .withColumn("next_fp", F.coalesce("next_fp", F.col("after.fp")))
+        .select("k", "th", "n_chars", "fp", likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), F.col("prev.k").alias("prev_k"), F.col("prev.th").alias("prev_th"), F.floor(F.col("prev.n_chars") / 3).cast("int").alias("need"))
     )
 
 
@@ -149,10 +134,9 @@ def report(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     base = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), text.alias("text"), F.xxhash64(text).alias("th"))
     known = lexicon(base.select("text"), band)
-    table = None
-    if (n := known.count()) <= LEXICON_TERMS:
-        table = table_of(known.agg(F.collect_list("term")).first()[0]) if n else b""
-    rows = keep(in_lexicon(base, "text", known, table).select("k", "th", F.char_length("text").cast("long").alias("n_chars"), F.unhex(fingerprint(F.col("text"), F.col("terms"))).alias("fp")), "fingerprints")
+    lists = max(1, known.count())
+    table = table_of(known, lists) if lists <= LEXICON_TERMS else None
+    rows = keep(in_lexicon(base, "text", known, table, lists).select("k", "th", F.char_length("text").cast("long").alias("n_chars"), F.unhex(fingerprint(F.col("text"), F.col("terms"))).alias("fp")), "fingerprints")
     linked = keep(chain(rows.dropDuplicates(["k", "th"])), "chain")
     openings = (
         base.join(linked.select("k", "th", "prev_k", "prev_th", "need"), ["k", "th"])
@@ -163,12 +147,12 @@ def report(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     edited = F.concat(F.expr("left(text, cast(n_chars - floor(n_chars / 3) as int))"), F.expr("left(opening, cast(floor(n_chars / 3) as int))"))
     pairs = (
         base.join(linked.select("k", "th", "n_chars", "fp", "near_next"), ["k", "th"]).join(openings, ["k", "th"])
-        .select("k", "th", "doc_id", "n_chars", told(F.col("fp")).alias("fingerprint"), "near_next", "next_id", edited.alias("edited"))
+        .select("k", "th", "doc_id", "n_chars", "fp", "near_next", "next_id", edited.alias("edited"))
     )
     return (
-        in_lexicon(pairs, "edited", known, table)
-        .withColumn("edited_fingerprint", fingerprint(F.col("edited"), F.col("terms")))
-        .select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), "near_next", "next_id")
+        in_lexicon(pairs, "edited", known, table, lists)
+        .select("doc_id", "n_chars", "fp", "near_next", "next_id", F.sha2("edited", 256).alias("edited_sha256"), F.unhex(fingerprint(F.col("edited"), F.col("terms"))).alias("edited_fp"))
+        .select("doc_id", "n_chars", "edited_sha256", told(F.col("fp")).alias("fingerprint"), told(F.col("edited_fp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), "near_next", "next_id")
     )
 
 
