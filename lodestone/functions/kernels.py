@@ -76,19 +76,15 @@ def discontinuity_ratio(image: np.ndarray) -> float:
 
 def cfa_ratio(image: np.ndarray, size: int = 16) -> float:
     """Share of blocks where, on any channel, the variances of horizontal and vertical differences differ threefold; differences wrap as bytes do."""
-    if image.ndim != 3:
+    if image.ndim != 3 or min(image.shape[:2]) < size:
         return 0.0
-    bad, total = 0, 0
-    for i in range(0, image.shape[0] - size + 1, size):
-        for j in range(0, image.shape[1] - size + 1, size):
-            block = image[i : i + size, j : j + size].astype(np.uint8)
-            total += 1
-            for c in range(3):
-                h, v = np.diff(block[..., c], axis=1).var(), np.diff(block[..., c], axis=0).var()
-                if v > 0 and not 0.33 <= h / v <= 3:
-                    bad += 1
-                    break
-    return bad / total if total else 0.0
+    bad = False
+    for c in range(3):
+        blocks = blocks_of(image[..., c].astype(np.uint8), size)
+        across, down = (np.diff(blocks, axis=axis).var(axis=(1, 2)) for axis in (2, 1))
+        ratio = across / np.where(down > 0, down, 1)
+        bad = bad | ((down > 0) & ((ratio < 0.33) | (ratio > 3)))
+    return float(bad.mean())
 
 
 def error_level(image: np.ndarray, resaved: np.ndarray) -> tuple[float, float, float]:
@@ -141,27 +137,31 @@ def shadow_spread(image: np.ndarray, limit: int = 60, least: int = 100) -> float
     if min(g.shape) < 3:
         return 0.0
     gy, gx = np.gradient(g)
-    label = np.zeros(g.shape, int)
-    angles, current = [], 0
-    for y, x in zip(*np.nonzero(g < limit), strict=True):
-        if label[y, x]:
-            continue
-        current += 1
-        stack, members = [(y, x)], []
-        label[y, x] = current
-        while stack:
-            a, b = stack.pop()
-            members.append((a, b))
-            for p, q in ((a + 1, b), (a - 1, b), (a, b + 1), (a, b - 1)):
-                if 0 <= p < g.shape[0] and 0 <= q < g.shape[1] and g[p, q] < limit and not label[p, q]:
-                    label[p, q] = current
-                    stack.append((p, q))
-        if len(members) > least:
-            ys, xs = np.array(members).T
-            angles.append(np.degrees(np.arctan2(gy[ys, xs].mean(), gx[ys, xs].mean())))
+    dark = g < limit
+    place = np.cumsum(dark).reshape(g.shape) - 1  # of each dark pixel among them
+    side = [place[:, :-1][dark[:, :-1] & dark[:, 1:]], place[:-1][dark[:-1] & dark[1:]]]
+    region = regions(int(dark.sum()), np.concatenate(side), np.concatenate([side[0] + 1, place[1:][dark[:-1] & dark[1:]]]))
+    n = np.bincount(region, minlength=1)
+    large = n > least
+    sums = [np.bincount(region, part[dark], len(n))[large] / n[large] for part in (gy, gx)]
+    angles = np.degrees(np.arctan2(*sums))
     return float(np.std(angles)) if len(angles) > 1 else 0.0
 
 
+def regions(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least member of each one's component, from edges: roots hook to lesser roots, then paths are halved."""
+    root = np.arange(n)
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        open_ = low < high
+        if not open_.any():
+            return root
+        a, b = a[open_], b[open_]
+        np.minimum.at(root, high[open_], low[open_])
+        while not np.array_equal(up := root[root], root):
+            root = up
+
+
 def metrics(pixels: Column, height: Column, width: Column, channels: Column) -> Column:
     """Struct of METRICS of raw uint8 images; what needs the encoded file or a recompressed copy is null."""
 

@@ -21,6 +21,7 @@ MIME_TYPES = {
     ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png", ".gif": "image/gif", ".bmp": "image/bmp", ".tiff": "image/tiff", ".tif": "image/tiff", ".heif": "image/heif",
     ".eml": "message/rfc822", ".msg": "application/vnd.ms-outlook", ".rtf": "application/rtf",
 }
+SPACES = r"[\x09-\x0D\x1C-\x1F\x{85}\p{Z}]+"
 DEFAULT_MIME = "application/octet-stream"
 
 
@@ -43,8 +44,8 @@ def empty_to_null(col: Column) -> Column:
 
 
 def tokens(col: Column) -> Column:
-    """Runs of non-space, without the empty ends that split leaves."""
-    return F.filter(F.split(F.coalesce(col, F.lit("")), r"\s+"), lambda x: x != "")
+    """Runs of non-space (Unicode's spaces and the control characters among them), without the empty ends that split leaves."""
+    return F.filter(F.split(F.coalesce(col, F.lit("")), SPACES), lambda x: x != "")
 
 
 def clean_tokens(col: Column) -> Column:
@@ -106,7 +107,7 @@ def image_mime_type(name: Column) -> Column:
     """As mime_type, but unknown extensions are image/<extension>."""
     end = extension(name)
     table = F.create_map(*[F.lit(x) for pair in MIME_TYPES.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, end), F.concat(F.lit("image/"), F.substring(end, 2, 64)))
+    return F.coalesce(F.try_element_at(table, end), F.concat(F.lit("image/"), F.substring(end, F.lit(2), F.char_length(end))))
 
 
 def markdown_table(rows: Column) -> Column:

@@ -25,18 +25,16 @@ MODEL_IDS = {"general": "prebuilt-document", "invoice": "prebuilt-invoice", "rec
 EXTENSIONS = (".jpg", ".jpeg", ".png", ".bmp", ".pdf", ".tiff", ".tif", ".heif")
 
 
-def type_scores(text: Column, phrases: Column, file_size: Column, pages: Column, tables: Column) -> Column:
-    """array of (score, -declaration order, type): the text is scanned once per term, in the JVM."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    has = lambda term: lambda key: F.contains(key, F.lit(term))
-    keys = F.transform(F.coalesce(phrases, F.array().cast("array<string>")), F.lower)
+def type_scores(low: Column, keys: Column, file_size: Column, pages: Column, tables: Column) -> Column:
+    """array of (score, -declaration order, type). low: the text, keys: its key phrases in one, both in lower case and both
+    columns, as each is scanned once per term, in the JVM."""
     flags = {"small": file_size < SMALL, "medium": (file_size >= SMALL) & (file_size < MEDIUM), "large": file_size > LARGE, "one_page": pages == 1, "many_pages": pages >= 3, "tables": tables}
     out = []
     for order, (kind, terms) in enumerate(INDICATORS.items()):
         score = F.lit(0.0)
         for term, weight in terms.items():
             score = score + F.when(F.contains(low, F.lit(term)), float(weight)).otherwise(0.0)
-            score = score + F.when(F.exists(keys, has(term)), weight * PHRASE_FACTOR).otherwise(0.0)
+            score = score + F.when(F.contains(keys, F.lit(term)), weight * PHRASE_FACTOR).otherwise(0.0)
         for name, bonus in BONUS.items():
             if kind in bonus:
                 score = score + F.when(flags[name], float(bonus[kind])).otherwise(0.0)
@@ -46,8 +44,10 @@ def type_scores(text: Column, phrases: Column, file_size: Column, pages: Column,
 
 def detect(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text, key_phrases, file_size, page_count, has_tables. doc_id, top_type, top_score, gap, model."""
-    ranked = F.reverse(F.array_sort(type_scores(F.col("text"), F.col("key_phrases"), F.col("file_size"), F.col("page_count"), F.col("has_tables"))))
-    scored = docs.select("doc_id", ranked.alias("r")).select("doc_id", F.col("r")[0]["kind"].alias("top_type"), F.col("r")[0]["score"].alias("top_score"), (F.col("r")[0]["score"] - F.col("r")[1]["score"]).alias("gap"))
+    joined = F.array_join(F.coalesce("key_phrases", F.array().cast("array<string>")), "\0")  # no term holds the separator
+    texts = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"), F.lower(joined).alias("keys"), "file_size", "page_count", "has_tables")
+    ranked = F.sort_array(type_scores(F.col("low"), F.col("keys"), F.col("file_size"), F.col("page_count"), F.col("has_tables")), asc=False)
+    scored = texts.select("doc_id", ranked.alias("r")).select("doc_id", F.col("r")[0]["kind"].alias("top_type"), F.col("r")[0]["score"].alias("top_score"), (F.col("r")[0]["score"] - F.col("r")[1]["score"]).alias("gap"))
     chosen = F.when((F.col("top_score") >= THRESHOLD) & (F.col("gap") >= GAP), F.col("top_type")).otherwise("layout")
     return scored.withColumn("model", chosen)
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions.text import attachment_name, empty_to_null, extension, mime_type, ole_magic, safe_filename
 
@@ -46,12 +48,35 @@ def first_of_each(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_n", nth).filter("_n = 1").drop("_n")
 
 
+def free_names(names: list[str]) -> list[str]:
+    """Each name, or the first of stem_1.ext, stem_2.ext, ... that no earlier one has taken."""
+    taken: set[str] = set()
+    tried: dict[str, int] = {}
+    out = []
+    for name in names:
+        free = name
+        stem, dot, end = name.rpartition(".")
+        stem, end = (stem, dot + end) if dot else (name, "")
+        while free in taken:
+            tried[name] = tried.get(name, 0) + 1
+            free = f"{stem}_{tried[name]}{end}"
+        taken.add(free)
+        out.append(free)
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def free_names_of(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda names: free_names(list(names)))
+
+
 def unique_names(rows: DataFrame) -> DataFrame:
-    """With path: repeated names of an e-mail get _1, _2, ... before the extension."""
-    nth = F.row_number().over(Window.partitionBy("email_id", "filename").orderBy("pos")) - 1
-    end = F.regexp_extract("filename", r"(\.[^.]*)$", 1)
-    stem = F.left(F.col("filename"), F.char_length("filename") - F.char_length(end))
-    return rows.withColumn("path", F.when(nth == 0, F.col("filename")).otherwise(F.concat(stem, F.lit("_"), nth.cast("string"), end)))
+    """rows: email_id, pos, filename and others. With path: names that an earlier attachment of the e-mail has, given or
+    found, get _1, _2, ... before the extension until they are free. An e-mail's attachments are one list."""
+    others = [c for c in rows.columns if c != "email_id"]
+    lists = rows.groupBy("email_id").agg(F.array_sort(F.collect_list(F.struct("pos", *[c for c in others if c != "pos"]))).alias("a"))
+    named = lists.withColumn("paths", free_names_of(F.transform("a", lambda x: x["filename"])))
+    return named.select("email_id", F.inline(F.arrays_zip("a", "paths"))).select("email_id", *[F.col("a")[c].alias(c) for c in others], F.col("paths").alias("path")).select(*rows.columns, "path")
 
 
 def stats(rows: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Nearest neighbours of a stated set of queries among all rows, block by block.
 
 The queries go to every task as one array, after a check of their size; each task keeps its k best per query, so only
-queries * k rows of a task are shuffled. Beyond the size, queries are taken in slices.
+queries * k rows of a task are shuffled. Beyond QUERY_BYTES, measured, queries are taken in slices.
 """
 
 from __future__ import annotations
@@ -11,16 +11,36 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICE = 20_000
+#: Bytes of queries that go to each task at once.
+QUERY_BYTES = 64 << 20
+
+
+def best_of_block(ids: np.ndarray, q: np.ndarray, own: np.ndarray, x: np.ndarray, k: int):
+    """Per query: places and exact distances of its k nearest rows, ties by id.
+
+    The product form of all distances picks the finalists, with room for its rounding, so that no tie is lost."""
+    square, lengths = (q**2).sum(axis=1), (x**2).sum(axis=1)
+    room = 1e-9 * (1 + square.max(initial=0) + lengths.max(initial=0))
+    for start in range(0, len(ids), 512):
+        s = slice(start, start + 512)
+        d = square[s, None] + lengths[None, :] - 2 * q[s] @ x.T
+        d[ids[s, None] == own[None, :]] = np.inf
+        least = np.partition(d, min(k, len(own)) - 1, axis=1)[:, min(k, len(own)) - 1]
+        for i, row in enumerate(d):
+            near = np.flatnonzero((row <= least[i] + room) & np.isfinite(row))
+            exact = np.sqrt(((x[near] - q[start + i]) ** 2).sum(axis=1))
+            best = np.lexsort((own[near], exact))[:k]
+            yield start + i, near[best], exact[best]
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int = 2, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """query_id, position (from 1), neighbor_id, distance (Euclidean); a row is no neighbour of itself. Ties go by id."""
     spark, schema = rows.sparkSession, "query_id long, neighbor_id long, distance double"
-    n = queries.count()
-    parts = [queries] if n <= SLICE else [queries.filter(F.pmod(F.xxhash64(key), F.lit(-(-n // SLICE))) == i) for i in range(-(-n // SLICE))]
+    size = (queries.agg(F.sum(F.size(column))).first()[0] or 0) * 8
+    n = max(1, -(-size // QUERY_BYTES))
     found = None
-    for part in parts:
+    for i in range(n):  # one, unless the queries themselves are large
+        part = queries if n == 1 else queries.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i)
         asked = part.select(key, column).toPandas()
         if not len(asked):
             continue
@@ -28,21 +48,16 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 2, key: str = "vec_id"
 
         def search(frames, held=held):
             ids, q = held.value
-            square = (q**2).sum(axis=1)
-            best = pd.DataFrame({"query_id": [], "neighbor_id": [], "distance": []}).astype({"query_id": "int64", "neighbor_id": "int64"})
+            best = [(np.empty(0), np.empty(0, np.int64))] * len(ids)
             for frame in frames:
                 if not len(frame):
                     continue
                 own, x = frame[key].to_numpy(np.int64), np.stack([np.asarray(v, np.float64) for v in frame[column]])
-                for start in range(0, len(ids), 512):
-                    s = slice(start, start + 512)
-                    d = np.sqrt(np.maximum(square[s, None] + (x**2).sum(axis=1)[None, :] - 2 * q[s] @ x.T, 0))
-                    d[ids[s, None] == own[None, :]] = np.inf
-                    top = np.argsort(d, axis=1, kind="stable")[:, : k + 2]
-                    got = pd.DataFrame({"query_id": np.repeat(ids[s], top.shape[1]), "neighbor_id": own[top].ravel(), "distance": np.take_along_axis(d, top, axis=1).ravel()})
-                    best = pd.concat([best, got[np.isfinite(got["distance"])]])
-                best = best.sort_values(["query_id", "distance", "neighbor_id"]).groupby("query_id").head(k)
-            yield best
+                for at, places, distances in best_of_block(ids, q, own, x, k):
+                    d, who = np.concatenate([best[at][0], distances]), np.concatenate([best[at][1], own[places]])
+                    first = np.lexsort((who, d))[:k]
+                    best[at] = d[first], who[first]
+            yield pd.DataFrame({"query_id": np.repeat(ids, [len(d) for d, _ in best]), "neighbor_id": np.concatenate([w for _, w in best]), "distance": np.concatenate([d for d, _ in best])})
 
         made = rows.select(key, column).mapInPandas(search, schema)
         found = made if found is None else found.unionByName(made)

@@ -21,12 +21,14 @@ def vocabulary_of(texts: DataFrame, column: str = "text") -> DataFrame:
 
 
 def split_vocabulary(docs: DataFrame, vocabulary: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
-    """doc_id, word, n (occurrences), known. A word unknown to the vocabulary may be known to the fallback (English)."""
-    words = docs.select("doc_id", F.explode(clean_tokens(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    """docs: doc_id, text and columns that it determines. Those but text, word, n (occurrences), known; documents without
+    words have one row, of a null word. A word unknown to the vocabulary may be known to the fallback (English)."""
+    keys = [c for c in docs.columns if c != "text"]
+    words = docs.select(*keys, F.explode_outer(clean_tokens(F.col("text"))).alias("word")).groupBy(*keys, "word").agg(F.count("word").alias("n"))
     out = words.join(vocabulary.select("word", F.lit(True).alias("_in")), "word", "left")
     if fallback is not None:
         out = out.join(fallback.select("word", F.lit(True).alias("_also")), "word", "left").withColumn("_in", F.coalesce("_in", "_also"))
-    return out.select("doc_id", "word", "n", F.coalesce("_in", F.lit(False)).alias("known"))
+    return out.select(*keys, "word", "n", F.coalesce("_in", F.lit(False)).alias("known"))
 
 
 def ratio(unknown: Column, known: Column) -> Column:
@@ -35,28 +37,30 @@ def ratio(unknown: Column, known: Column) -> Column:
 
 
 def gibberish_ratios(docs: DataFrame, vocabulary: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
-    """doc_id, n_tokens, set_ratio (of distinct words), token_ratio (of occurrences), for every document."""
-    by_doc = split_vocabulary(docs, vocabulary, fallback).groupBy("doc_id").agg(
-        F.sum("n").alias("n_tokens"), F.count_if("known").alias("ks"), F.count_if(~F.col("known")).alias("us"),
-        F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("kt"), F.sum(F.when(~F.col("known"), F.col("n")).otherwise(0)).alias("ut"),
+    """doc_id (and other columns of docs but text), n_tokens, set_ratio (of distinct words), token_ratio (of occurrences),
+    for every document."""
+    keys = [c for c in docs.columns if c != "text"]
+    new = F.col("word").isNotNull() & ~F.col("known")
+    by_doc = split_vocabulary(docs, vocabulary, fallback).groupBy(*keys).agg(
+        F.sum("n").alias("n_tokens"), F.count_if("known").alias("ks"), F.count_if(new).alias("us"),
+        F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("kt"), F.sum(F.when(new, F.col("n")).otherwise(0)).alias("ut"),
     )
-    all_docs = docs.select("doc_id").join(by_doc, "doc_id", "left").fillna(0, ["n_tokens", "ks", "us", "kt", "ut"])
-    return all_docs.select("doc_id", "n_tokens", ratio(F.col("us"), F.col("ks")).alias("set_ratio"), ratio(F.col("ut"), F.col("kt")).alias("token_ratio"))
+    return by_doc.select(*keys, "n_tokens", ratio(F.col("us"), F.col("ks")).alias("set_ratio"), ratio(F.col("ut"), F.col("kt")).alias("token_ratio"))
 
 
 def validity(docs: DataFrame, vocabulary: DataFrame, threshold: float = VALIDITY_THRESHOLD, fallback: DataFrame | None = None) -> DataFrame:
     """doc_id, valid: blank texts are not, few words always are, others by the lesser ratio."""
-    ratios = gibberish_ratios(docs, vocabulary, fallback)
-    blank = docs.select("doc_id", (F.trim(F.coalesce("text", F.lit(""))) == "").alias("blank"))
-    return blank.join(ratios, "doc_id").select("doc_id", F.when(F.col("blank"), False).when(F.col("n_tokens") <= FEW_WORDS, True).otherwise(F.least("set_ratio", "token_ratio") < threshold).alias("valid"))
+    rows = docs.select("doc_id", "text", (F.trim(F.coalesce("text", F.lit(""))) == "").alias("blank"))
+    ratios = gibberish_ratios(rows, vocabulary, fallback)
+    return ratios.select("doc_id", F.when(F.col("blank"), False).when(F.col("n_tokens") <= FEW_WORDS, True).otherwise(F.least("set_ratio", "token_ratio") < threshold).alias("valid"))
 
 
 def confidence(docs: DataFrame, vocabulary: DataFrame, threshold: float = CONFIDENCE_THRESHOLD, fallback: DataFrame | None = None) -> DataFrame:
     """docs: doc_id, digital, ocr, lang. doc_id, confidence: low without clean words, high if most of them are digital
     text, otherwise by the gibberish of the recognised text (Spanish folded first)."""
     read = F.when(F.col("lang") == "es", fold_spanish(clean_text(F.col("ocr")))).otherwise(F.col("ocr"))
-    counts = docs.select("doc_id", F.size(clean_tokens(F.col("digital"))).alias("d"), F.size(clean_tokens(F.col("ocr"))).alias("o"))
-    ratios = gibberish_ratios(docs.select("doc_id", read.alias("text")), vocabulary, fallback)
+    counted = docs.select("doc_id", F.size(clean_tokens(F.col("digital"))).alias("d"), F.size(clean_tokens(F.col("ocr"))).alias("o"), read.alias("text"))
+    ratios = gibberish_ratios(counted, vocabulary, fallback)
     both = F.col("d") + F.col("o")
     level = F.when(both == 0, "low").when(F.col("d") / F.greatest(both, F.lit(1)) > DIGITAL_SHARE, "high").when(F.least("set_ratio", "token_ratio") > threshold, "low").otherwise("medium")
-    return counts.join(ratios, "doc_id").select("doc_id", level.alias("confidence"))
+    return ratios.select("doc_id", level.alias("confidence"))

@@ -18,7 +18,7 @@ from lodestone.plans import schema
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 PATTERN_TYPES = ["EMAIL_ADDRESS", "IP_ADDRESS", "US_SSN", "PHONE_NUMBER"]
-CLEAN = r"list_transform(list_filter(regexp_split_to_array(coalesce({0}, ''), '\s+'), lambda x: regexp_full_match(x, '\p{{L}}{{3,}}')), lambda x: lower(x))"
+CLEAN = r"list_transform(list_filter(regexp_split_to_array(coalesce({0}, ''), '[\x09-\x0D\x1C-\x1F\x{{85}}\p{{Z}}]+'), lambda x: regexp_full_match(x, '\p{{L}}{{3,}}')), lambda x: lower(x))"
 NORMAL = r"trim(regexp_replace(regexp_replace(strip_accents(lower(coalesce({0}, ''))), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
@@ -121,7 +121,7 @@ def finite(name: str):
 @query(f"WITH docs AS (SELECT doc_id, text FROM documents), {RATIOS} SELECT doc_id, CAST(n_tokens AS BIGINT) AS n_tokens, round(set_ratio, 6) AS set_ratio, round(token_ratio, 6) AS token_ratio FROM r")
 def gibberish_ratios(spark, d):
     vocabulary = text_quality.vocabulary_of(table(spark, d, "benchmark"))
-    return text_quality.gibberish_ratios(table(spark, d, "documents"), vocabulary).select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), finite("set_ratio"), finite("token_ratio"))
+    return text_quality.gibberish_ratios(table(spark, d, "documents").select("doc_id", "text"), vocabulary).select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), finite("set_ratio"), finite("token_ratio"))
 
 
 @query(f"WITH docs AS (SELECT doc_id, text FROM documents), {RATIOS} SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN FALSE WHEN n_tokens <= 10 THEN TRUE ELSE least(set_ratio, token_ratio) < 0.7 END AS valid FROM docs JOIN r USING (doc_id)")
@@ -129,7 +129,7 @@ def text_validity(spark, d):
     return text_quality.validity(table(spark, d, "documents"), text_quality.vocabulary_of(table(spark, d, "benchmark")))
 
 
-HALVES = "substr(text, 1, CAST(floor(n_chars * (doc_id % 5) / 4) AS INTEGER))", "substr(text, 1 + CAST(floor(n_chars * (doc_id % 5) / 4) AS INTEGER), 1000000)"
+HALVES = "substr(text, 1, CAST(floor(n_chars * (doc_id % 5) / 4) AS INTEGER))", "substr(text, 1 + CAST(floor(n_chars * (doc_id % 5) / 4) AS INTEGER))"
 
 
 @query(f"""WITH h AS (SELECT doc_id, lang, {HALVES[0]} AS digital, {HALVES[1]} AS ocr FROM documents),
@@ -151,7 +151,26 @@ def sql_pattern(e: str) -> str:
 MATCHES = " UNION ALL ".join(f"SELECT doc_id, lang, '{e}' AS entity_type, unnest(regexp_extract_all(coalesce(text, ''), '{sql_pattern(e)}')) AS entity_text FROM documents" for e in PATTERN_TYPES)
 
 
-@query(f"SELECT doc_id, entity_type, entity_text FROM ({MATCHES})")
+def typed_matches(e: str) -> str:
+    """Matches of a type and the text between them."""
+    pattern = sql_pattern(e)
+    return f"""SELECT doc_id, '{e}' AS k, {pii.PATTERNS[e][1]}::DOUBLE AS score, regexp_extract_all(text, '{pattern}') AS m, regexp_split_to_array(text, '{pattern}') AS g FROM documents WHERE regexp_matches(text, '{pattern}')"""
+
+
+# Places from the lengths of what lies before; then, by score, length and start, each span that meets none taken before.
+SPANS = f"""found AS ({" UNION ALL ".join(map(typed_matches, PATTERN_TYPES))}),
+placed AS (SELECT doc_id, k, score, m, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS b, m[i] AS v FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found)),
+sorted_spans AS (SELECT doc_id, list(struct_pack(k := k, b := CAST(b AS INTEGER), e := CAST(b + length(v) AS INTEGER), v := v, score := score) ORDER BY score DESC, length(v) DESC, b, k) AS s FROM placed GROUP BY doc_id),
+chosen AS (SELECT doc_id, list_reduce(s, lambda acc, x: CASE WHEN len(list_filter(acc, lambda t: x.b < t.e AND t.b < x.e)) = 0 THEN list_append(acc, x) ELSE acc END, s[1:0]) AS s FROM sorted_spans),
+spans AS (SELECT d.doc_id, d.text, list_sort(coalesce(list_transform(s, lambda x: struct_pack(b := x.b, e := x.e, k := x.k, v := x.v, score := x.score)), [])) AS s FROM documents d LEFT JOIN chosen USING (doc_id))"""
+
+
+def rebuilt(replacement: str) -> str:
+    """SQL of the text with each span x replaced."""
+    return f"array_to_string(list_transform(s, lambda x, i: substr(text, CASE WHEN i = 1 THEN 1 ELSE s[i - 1].e + 1 END, x.b - CASE WHEN i = 1 THEN 0 ELSE s[i - 1].e END) || {replacement}), '') || substr(text, coalesce(s[-1].e, 0) + 1)"
+
+
+@query(f"WITH {SPANS} SELECT doc_id, x.k AS entity_type, x.b AS start, x.e AS \"end\", x.v AS entity_text FROM (SELECT doc_id, unnest(s) AS x FROM spans)")
 def pii_entities(spark, d):
     return pii.extract(table(spark, d, "documents"), PATTERN_TYPES)
 
@@ -161,28 +180,38 @@ def pii_summary(spark, d):
     return pii.pii_summary(table(spark, d, "documents"), PATTERN_TYPES)
 
 
-def nested(column: str, make) -> str:
-    out = column
-    for e in pii.PATTERNS:
-        if e in PATTERN_TYPES:
-            out = f"regexp_replace({out}, '{sql_pattern(e)}', '{make(e)}', 'g')"
-    return out
+def digest_of_anonymised(spark, d, config: dict) -> DataFrame:
+    made = pii.anonymize(table(spark, d, "documents"), config, PATTERN_TYPES)
+    return made.select("doc_id", F.sha2("anonymised", 256).alias("anonymised"))
 
 
-@query(f"SELECT doc_id, sha256({nested('text', lambda e: f'<{e}>')}) AS anonymised FROM documents")
+@query(f"WITH {SPANS} SELECT doc_id, sha256({rebuilt("'<' || x.k || '>'")}) AS anonymised FROM spans")
 def anonymize_replace(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2(pii.anonymised(F.col("text"), PATTERN_TYPES), 256).alias("anonymised"))
+    return digest_of_anonymised(spark, d, {})
 
 
-@query(f"SELECT doc_id, sha256({nested('text', lambda e: '')}) AS anonymised FROM documents")
+@query(f"WITH {SPANS} SELECT doc_id, sha256({rebuilt("''")}) AS anonymised FROM spans")
 def anonymize_redact(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2(pii.anonymised(F.col("text"), PATTERN_TYPES, lambda e: ""), 256).alias("anonymised"))
+    return digest_of_anonymised(spark, d, {"DEFAULT": {"type": "redact"}})
 
 
-@query()
+MASKED = {"DEFAULT": {"type": "mask", "masking_char": "#", "chars_to_mask": 4}, "IP_ADDRESS": {"type": "hash"}}
+MASK_SQL = "CASE WHEN x.k = 'IP_ADDRESS' THEN sha256(x.v) ELSE left(x.v, length(x.v) - 4) || '####' END"
+
+
+@query(f"WITH {SPANS} SELECT doc_id, sha256({rebuilt(MASK_SQL)}) AS anonymised FROM spans")
 def anonymize_mask(spark, d):
-    masked = pii.anonymize(table(spark, d, "documents"), {"DEFAULT": {"type": "mask", "masking_char": "#", "chars_to_mask": 4}, "IP_ADDRESS": {"type": "hash"}}, PATTERN_TYPES)
-    return pii.summary(masked)
+    return digest_of_anonymised(spark, d, MASKED)
+
+
+@query(f"""WITH {SPANS}, masked AS (SELECT *, {rebuilt(MASK_SQL)} AS masked FROM spans),
+kinds AS (SELECT doc_id, string_agg(k || '=' || n, ',' ORDER BY k) AS by_type FROM (SELECT doc_id, k, count(*) AS n FROM (SELECT doc_id, unnest(s).k AS k FROM spans) GROUP BY 1, 2) GROUP BY 1)
+SELECT doc_id, CAST(len(s) AS INTEGER) AS total, coalesce(by_type, '') AS by_type, CAST(length(text) AS INTEGER) AS original_length, CAST(length(masked) AS INTEGER) AS anonymised_length, CAST(length(text) - length(masked) AS INTEGER) AS delta,
+round(CASE WHEN len(s) = 0 THEN 0 ELSE list_avg(list_transform(s, lambda x: x.score)) END, 6) AS mean_score FROM masked LEFT JOIN kinds USING (doc_id)""")
+def anonymize_summary(spark, d):
+    made = pii.summary(pii.anonymize(table(spark, d, "documents"), MASKED, PATTERN_TYPES))
+    by_type = F.array_join(F.transform(F.map_entries("by_type"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return made.select("doc_id", "total", by_type.alias("by_type"), "original_length", "anonymised_length", "delta", F.round("mean_score", 6).alias("mean_score"))
 
 
 @query()
@@ -229,7 +258,13 @@ def website_similarity(spark, d):
     return table(spark, d, "pages").select("page_id", F.round(similarity.website_similarity(F.col("url"), F.lit("https://www.example.org/x")), 6).alias("score"))
 
 
-@query()
+IN_ORDER = "array_to_string(list_sort(string_split({0}, ' ')), ' ')"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT s_suppkey, {IN_ORDER.format(NORMAL.format("s_name || ' ' || n_name"))} AS x, {IN_ORDER.format(NORMAL.format("n_name || ' Supplier'"))} AS y FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+f AS (SELECT s_suppkey, x, y, 0 AS i, list_transform(range(0, widest + 1), lambda z: 0) AS row FROM p CROSS JOIN (SELECT max(length(y)) AS widest FROM p) UNION ALL
+SELECT s_suppkey, x, y, i + 1, list_reduce(range(1, len(row)), lambda r, j: list_append(r, CASE WHEN substr(x, i + 1, 1) = substr(y, j, 1) THEN row[j] + 1 ELSE greatest(row[j + 1], r[j]) END), [0]) FROM f WHERE i < length(x))
+SELECT s_suppkey, round(2.0 * row[length(y) + 1] / (length(x) + length(y)), 6)::DOUBLE AS score FROM f WHERE i = length(x)""")
 def address_similarity(spark, d):
     s, n = table(spark, d, "supplier"), table(spark, d, "nation")
     joined = s.join(n, s.s_nationkey == n.n_nationkey)
@@ -499,10 +534,17 @@ def attachment_stats(spark, d):
     return email.stats(email_attachments(spark, d)).select("email_id", "total", "embedded", "total_bytes")
 
 
-@query(r"""SELECT email_id, pos - 1 AS pos, CASE WHEN n = 0 THEN filename ELSE substr(filename, 1, length(filename) - length(regexp_extract(filename, '(\.[^.]*)$', 1))) || '_' || CAST(n AS VARCHAR) || regexp_extract(filename, '(\.[^.]*)$', 1) END AS path
-FROM (SELECT *, row_number() OVER (PARTITION BY email_id, filename ORDER BY pos) - 1 AS n FROM (SELECT l_orderkey AS email_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS pos, 'report.pdf' AS filename FROM lineitem))""")
+CLASHING = ["report.pdf", "report.pdf", "report_1.pdf", "notes", "report.pdf", "notes", "notes_1"]
+
+
+@query(f"""WITH r AS (SELECT l_orderkey AS email_id, list({CLASHING}[(l_linenumber + l_orderkey) % 7 + 1] ORDER BY l_linenumber) AS names FROM lineitem GROUP BY 1),
+t AS (SELECT email_id, list_reduce(names, lambda taken, x: list_append(taken, CASE WHEN NOT list_contains(taken, x) THEN x ELSE
+ list_filter(list_transform(range(1, 100), lambda i: regexp_replace(x, '(\\.[^.]*)?$', '_' || i || '\\1')), lambda y: NOT list_contains(taken, y))[1] END), names[1:0]) AS paths FROM r)
+SELECT email_id, unnest(range(0, len(paths))) AS pos, unnest(paths) AS path FROM t""")
 def unique_names(spark, d):
-    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("email_id"), (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1).alias("pos"), F.lit("report.pdf").alias("filename"))
+    name = F.element_at(F.array(*map(F.lit, CLASHING)), ((F.col("l_linenumber") + F.col("l_orderkey")) % 7 + 1).cast("int"))
+    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("email_id"), pos.alias("pos"), name.alias("filename"))
     return email.unique_names(rows).select("email_id", F.col("pos").cast("long").alias("pos"), "path")
 
 
@@ -533,10 +575,11 @@ def block_variance(spark, d):
 
 @query()
 def pixel_metrics(spark, d):
-    """Kernels over an image made of each document's bytes: 32 wide, as high as whole rows go."""
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("b")).withColumn("h", F.floor(F.octet_length("b") / 32).cast("int")).filter("h >= 16")
-    m = kernels.metrics(F.expr("substring(b, 1, h * 32)"), F.col("h"), F.lit(32), F.lit(1))
-    return docs.select("doc_id", m.alias("m")).select("doc_id", F.round("m.noise_mean_spread", 6).alias("noise_mean_spread"), F.round("m.ghost_ratio", 6).alias("ghost_ratio"), F.round("m.discontinuity_ratio", 6).alias("discontinuity_ratio"), F.array_join(forensics.pixel_rules(F.col("m")), "; ").alias("indicators"))
+    """Kernels over an image made of each document's bytes: 32 wide, the last row filled up with zeros; null without a byte."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("b")).withColumn("h", F.ceil(F.octet_length("b") / 32).cast("int"))
+    m = kernels.metrics(F.expr("CASE WHEN h > 0 THEN rpad(b, h * 32, X'00') END"), F.col("h"), F.lit(32), F.lit(1))
+    names = ("noise_mean_spread", "ghost_ratio", "discontinuity_ratio", "shadow_spread")
+    return docs.select("doc_id", m.alias("m")).select("doc_id", *[F.round(f"m.{n}", 6).alias(n) for n in names], F.array_join(forensics.pixel_rules(F.col("m")), "; ").alias("indicators"))
 
 
 @query("""WITH d AS (SELECT q.vec_id AS query_id, e.vec_id AS neighbor_id, sqrt(list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: (q.embedding[i]::DOUBLE - e.embedding[i]::DOUBLE) * (q.embedding[i]::DOUBLE - e.embedding[i]::DOUBLE)))) AS distance

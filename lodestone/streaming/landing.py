@@ -22,7 +22,7 @@ def run(stream: DataFrame, step: Callable[[DataFrame], DataFrame], out: str, che
 
 def anonymize_arriving(spark: SparkSession, path: str, out: str, checkpoint: str, entities: list[str]) -> StreamingQuery:
     """Documents (doc_id, text) with the pattern types replaced."""
-    return run(arriving(spark, path, "doc_id long, text string"), lambda df: df.withColumn("text", pii.anonymised(F.col("text"), entities)), out, checkpoint)
+    return run(arriving(spark, path, "doc_id long, text string"), lambda df: pii.anonymize(df, entities=entities).select("doc_id", F.col("anonymised").alias("text")), out, checkpoint)
 
 
 def first_contents(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
