@@ -5,10 +5,14 @@
 2. Nodes that share a band key form a bucket; every member is paired with the bucket's least node only, so a bucket
    gives as many pairs as members. Pairs whose set sizes rule the similarity out are dropped, the others confirmed on
    full sets.
-3. Buckets that overlap make a family. Where a family's confirmed links leave it in several components, every node
-   outside its main component meets every node of another component: exact intersection counts in blocks of at most
-   BLOCK_ROWS x BLOCK_ROWS, from which only true links leave. So within a family no link is lost, whatever its size, and
-   a family joined by step 2 costs nothing more.
+3. Buckets that overlap make a family, and a family that step 2 joins costs nothing more. A family that it leaves in
+   several components is searched so that no link between them is lost:
+   a. of at most SMALL_FAMILY nodes: every node outside its main component meets every node of another component, by
+      exact intersection counts in blocks of at most BLOCK_ROWS x BLOCK_ROWS, from which only true links leave;
+   b. larger ones by prefixes: a family's shingles are ordered, those few REFERENCES sets hold first (the order decides
+      only how much work there is), and linked sets share many of their first shingles. Pairs that share enough shingles
+      of at most HOT_HOLDERS holders are confirmed on full sets; nodes that share a shingle of more holders make
+      smaller families, which are compared as in a. Documents of one template with text of their own share none.
 4. Union-find labels: edges are contracted towards least neighbours in rounds until at most FOREST_EDGES remain, which
    one task then joins.
 
@@ -28,10 +32,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, keep, read_table, slices, small_batches
-from .shingles import WordHashes, bands_of, chunks, set_key, shingle_set, signatures
+from .shingles import WordHashes, bands_of, chunks, scramble, set_key, shingle_set, signatures
 
 BANDS, ROWS, SHINGLE, SIMILARITY = 40, 6, 5, 80
-CHUNK_ELEMENTS, BLOCK_ROWS, BLOCK_ELEMENTS, FOREST_EDGES = 100_000, 1024, 2_000_000, 1_000_000
+CHUNK_ELEMENTS, BLOCK_ROWS, BLOCK_ELEMENTS, FOREST_EDGES = 100_000, 512, 2_000_000, 1_000_000
+#: Nodes of a family that is compared whole; holders of a hot prefix shingle; sets (and their elements) that order a family's shingles.
+SMALL_FAMILY, HOT_HOLDERS, REFERENCES, REFERENCE_ELEMENTS = 256, 64, 32, 400_000
 
 
 def signed(value: int) -> int:
@@ -113,6 +119,35 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
+def prefix_batches(batches, similarity: int):
+    """Rows sorted by (family, salt, kind), references before members: node, items. -> key, node of the members' prefixes.
+
+    A family's shingles are ordered by how many references hold them, then by hash. Two linked sets of sizes n share at
+    least l shingles among the first n - ceil(similarity * n) + l of each, for any l; l is a tenth of n."""
+    group, held, ranks = None, [], None
+    for batch in batches:
+        columns = (batch.column(c).to_pylist() for c in ("family", "salt", "kind", "node", "items"))
+        keys, nodes = [], []
+        for family, salt, kind, node, items in zip(*columns, strict=True):
+            items = np.frombuffer(items, np.uint64)
+            if (family, salt) != group:
+                group, held, ranks = (family, salt), [], None
+            if kind == 0:
+                held.append(items)
+                continue
+            if ranks is None:
+                ranks, held = np.unique(np.concatenate(held), return_counts=True), []
+            at = np.minimum(np.searchsorted(ranks[0], items), len(ranks[0]) - 1)
+            count = np.where(ranks[0][at] == items, ranks[1][at], 0)
+            mixed = scramble(items + np.uint64(family & (1 << 64) - 1))
+            must = -(-similarity * len(items) // 100)
+            first = np.lexsort((mixed, count))[: len(items) - must + min(len(items) // 10 + 1, must)]
+            keys.append(mixed[first])
+            nodes.append(np.full(len(first), node, np.int64))
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=["key", "node"])
+
+
 def block_batches(batches, similarity: int):
     """Rows sorted by (family, x, y): node, comp, outside?, items. A link per node and component, if there is one, leaves."""
     held: list = []
@@ -218,7 +253,7 @@ def label(rows: DataFrame, labels: DataFrame, name: str) -> DataFrame:
     return rows.join(labels.select(F.col("v").alias("node"), "root"), "node", "left").withColumn(name, F.coalesce("root", "node")).drop("root")
 
 
-def links(docs: DataFrame, nodes: DataFrame, banded: DataFrame, k: int, similarity: int, block_rows: int, forest_edges: int) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, banded: DataFrame, k: int, similarity: int, block_rows: int, forest_edges: int, small_family: int, hot_holders: int) -> DataFrame:
     """All links (a, b) needed for the components of the nodes. banded: node, n, band key."""
     buckets = banded.groupBy("key").agg(F.min(F.col("node")).alias("rep"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     star = keep(banded.select("key", "node").join(buckets.select("key", "rep"), "key").filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
@@ -228,13 +263,60 @@ def links(docs: DataFrame, nodes: DataFrame, banded: DataFrame, k: int, similari
     family = components(star, forest_edges)
     members = family.select(F.col("v").alias("node")).unionByName(family.select(F.col("root").alias("node")).distinct())
     sets = sets_of(docs, nodes, members, k)
-    at = lambda end: sets.select(F.col("node").alias(end), F.col("items").alias(f"items_{end}"))
-    first = keep(likely.join(at("a"), "a").join(at("b"), "b").mapInArrow(functools.partial(verify_batches, similarity=similarity), "a long, b long"), "links")
+    first = keep(verified(likely, sets, similarity), "links")
     state = label(label(members, family, "family"), components(first, forest_edges), "comp")
     state = keep(state.join(sizes, "node"), "state")
+    widths = F.max("n").alias("widest")
+    by_comp = state.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("size"), widths)
+    apart = by_comp.groupBy("family").agg(F.count(F.lit(1)).alias("comps"), F.sum("size").alias("nodes"), F.max("widest").alias("widest"))
+    apart = keep(apart.filter("comps > 1 AND nodes > 2").drop("comps"), "apart")
+    open_ = keep(state.join(apart, "family"), "open")
+    whole = open_.filter(F.col("nodes") <= small_family).select("family", "node", "comp", "n")
+    close, hot = prefix_links(open_.filter(F.col("nodes") > small_family), sets, similarity, block_rows, hot_holders)
+    second = verified(close, sets, similarity)
+    third = block_links(keep(whole.unionByName(hot), "compared"), sets, similarity, block_rows)
+    return first.unionByName(keep(second.unionByName(third), "more_links"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """a, b of the pairs that are links."""
+    at = lambda end: sets.select(F.col("node").alias(end), F.col("items").alias(f"items_{end}"))
+    return pairs.join(at("a"), "a").join(at("b"), "b").mapInArrow(functools.partial(verify_batches, similarity=similarity), "a long, b long")
+
+
+def prefix_links(nodes: DataFrame, sets: DataFrame, similarity: int, block_rows: int, hot_holders: int) -> tuple[DataFrame, DataFrame]:
+    """Of families (family, node, comp, n, nodes, widest): pairs (a, b) that can be links, and nodes (family, node, comp, n)
+    to be compared whole, in families made smaller. Every link between two components is in one of both."""
+    salts = F.ceil(F.col("nodes") / block_rows).cast("int")
+    place = F.row_number().over(Window.partitionBy("family").orderBy(F.xxhash64("node"), "node"))
+    most = F.greatest(F.lit(2), F.least(F.lit(REFERENCES), F.floor(F.lit(REFERENCE_ELEMENTS) / F.col("widest"))))
+    chosen = nodes.withColumn("place", place).filter(F.col("place") <= REFERENCES).filter(F.col("place") <= most)
+    references = chosen.select("family", "node", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("kind"))
+    members = nodes.select("family", "node", F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt"), F.lit(1).alias("kind"))
+    dealt = references.unionByName(members).join(sets, "node").repartition("family", "salt").sortWithinPartitions("family", "salt", "kind")
+    rows = keep(dealt.mapInArrow(functools.partial(prefix_batches, similarity=similarity), "key long, node long"), "prefixes")
+    holders = rows.groupBy("key").agg(F.count(F.lit(1)).alias("holders"), F.min("node").alias("rep")).filter("holders > 1")
+    held = keep(rows.join(holders, "key"), "holders")
+    star = held.filter((F.col("holders") > hot_holders) & (F.col("node") != F.col("rep"))).select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
+    smaller = components(star)
+    hot = smaller.select(F.col("v").alias("node")).unionByName(smaller.select(F.col("root").alias("node")).distinct())
+    hot = label(hot.join(nodes.select("node", "comp", "n"), "node"), smaller, "family").select("family", "node", "comp", "n")
+    lists = held.filter(F.col("holders") <= hot_holders).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("who"))
+    after = lambda i: F.slice("who", i + 2, F.size("who"))
+    pairs = F.flatten(F.transform("who", lambda a, i: F.transform(after(i), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    met = lists.select(F.inline(pairs)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    facts = lambda end: nodes.select(F.col("node").alias(end), F.col("comp").alias(f"comp_{end}"), F.col("n").alias(f"n_{end}"))
+    full = met.join(facts("a"), "a").join(facts("b"), "b").withColumn("low", F.least("n_a", "n_b")).withColumn("high", F.greatest("n_a", "n_b"))
+    enough = F.least(F.floor(F.col("low") / 10) + 1, F.ceil(F.col("low") * similarity / 100))
+    close = full.filter((F.col("comp_a") != F.col("comp_b")) & (F.col("low") * 100 >= F.col("high") * similarity) & (F.col("shared") >= enough)).select("a", "b")
+    return keep(close, "close"), hot
+
+
+def block_links(state: DataFrame, sets: DataFrame, similarity: int, block_rows: int) -> DataFrame:
+    """Links between the components of each family (family, node, comp, n), from exact counts block by block."""
     by_comp = state.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("size"), F.max("n").alias("widest"))
     open_ = by_comp.groupBy("family").agg(F.count(F.lit(1)).alias("comps"), F.sum("size").alias("nodes"), F.max("widest").alias("widest"), F.max(F.struct("size", "comp")).alias("main"))
-    open_ = keep(open_.filter("comps > 1 AND nodes > 2").select("family", "nodes", "widest", F.col("main.comp").alias("main"), (F.col("nodes") - F.col("main.size")).alias("outside")), "open")
+    open_ = keep(open_.filter("comps > 1").select("family", "nodes", "widest", F.col("main.comp").alias("main"), (F.col("nodes") - F.col("main.size")).alias("outside")), "blocks")
     per = F.greatest(F.lit(1), F.least(F.lit(block_rows), F.floor(F.lit(BLOCK_ELEMENTS) / F.col("widest"))))
     placed = state.join(open_, "family").select("family", "node", "comp", (F.col("comp") != F.col("main")).alias("out"), F.ceil(F.col("outside") / per).cast("int").alias("x_n"), F.ceil(F.col("nodes") / per).cast("int").alias("y_n"))
     spot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
@@ -242,11 +324,10 @@ def links(docs: DataFrame, nodes: DataFrame, banded: DataFrame, k: int, similari
     outer = placed.filter("out").withColumn("x", spot("x_n")).withColumn("y", upto("y_n")).withColumn("outer", F.lit(True))
     inner = placed.withColumn("y", spot("y_n")).withColumn("x", upto("x_n")).withColumn("outer", F.lit(False))
     cells = outer.select("family", "x", "y", "outer", "node", "comp").unionByName(inner.select("family", "x", "y", "outer", "node", "comp")).join(sets, "node")
-    second = cells.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(functools.partial(block_batches, similarity=similarity), "a long, b long")
-    return first.unionByName(keep(second, "more_links"))
+    return cells.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(functools.partial(block_batches, similarity=similarity), "a long, b long")
 
 
-def report(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block_rows: int = BLOCK_ROWS, forest_edges: int = FOREST_EDGES) -> DataFrame:
+def report(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block_rows: int = BLOCK_ROWS, forest_edges: int = FOREST_EDGES, small_family: int = SMALL_FAMILY, hot_holders: int = HOT_HOLDERS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -256,7 +337,7 @@ def report(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY
     nodes = keep(by_set.withColumn("node", F.when(nth == 1, F.col("lo")).otherwise(F.col("hi"))), "nodes")
     firsts = signed_rows.join(nodes, ["hi", "lo", "n"]).filter(signed_rows["doc_id"].eqNullSafe(nodes["doc_id"])).select("node", "bands")
     banded = firsts.select("node", F.explode("bands").alias("key")).distinct()
-    found = components(links(docs, nodes, banded, shingle, similarity, block_rows, forest_edges), forest_edges)
+    found = components(links(docs, nodes, banded, shingle, similarity, block_rows, forest_edges, small_family, hot_holders), forest_edges)
     comps = keep(label(nodes.select("node", "hi", "lo", "doc_id"), found, "comp"), "comps")
     least = keep(comps.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least")  # apart, so that a hot component's join can be split
     by_key = keep(comps.join(least, "comp").select("hi", "lo", "component_id"), "classes")

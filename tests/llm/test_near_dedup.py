@@ -54,11 +54,11 @@ def rows_of(seed):
     return rows + [(900, None), (901, ""), (902, " \n"), (903, texts[0]), (903, texts[0]), (None, texts[1]), (None, "alone here"), (904, "same id a b"), (904, "other text c d")]
 
 
-@pytest.mark.parametrize("seed,k,block_rows,forest", [(1, 2, 1024, 1_000_000), (2, 2, 16, 20), (3, 5, 7, 3)])
-def test_components_match_brute_force(spark, seed, k, block_rows, forest):
+@pytest.mark.parametrize("seed,k,block_rows,forest,small,hot", [(1, 2, 1024, 1_000_000, 256, 64), (2, 2, 16, 20, 0, 2), (3, 5, 7, 3, 0, 8), (5, 2, 16, 20, 0, 1000), (6, 1, 512, 20, 10, 0)])
+def test_components_match_brute_force(spark, seed, k, block_rows, forest, small, hot):
     rows = rows_of(seed)
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.report(df, shingle=k, block_rows=block_rows, forest_edges=forest).collect()), key=str)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.report(df, shingle=k, block_rows=block_rows, forest_edges=forest, small_family=small, hot_holders=hot).collect()), key=str)
     assert got == sorted(brute(rows, k), key=str)
 
 
@@ -80,6 +80,34 @@ def test_deduplicate_keeps_one_of_each_group_with_its_columns(spark):
     assert sorted((r.doc_id for r in got.collect()), key=str) == want
 
 
+def templates(n, shared=60, own=40, words=300):
+    """Documents of one template, with text of their own from few words, and a copy with one word more of each tenth one."""
+    rng = np.random.default_rng(n)
+    template = [f"t{i}" for i in range(shared)]
+    texts = [" ".join(template[: shared // 2] + [f"w{x}" for x in rng.integers(0, words, own)] + template[shared // 2 :]) for _ in range(n)]
+    return list(enumerate(texts + [t + " more" for t in texts[::10]]))
+
+
+def test_template_documents_cost_in_proportion(spark, monkeypatch):
+    compared = {}
+
+    def counted(pairs, sets, similarity, real=near_dedup.verified):
+        compared[name] = compared.get(name, 0) + pairs.count()
+        return real(pairs, sets, similarity)
+
+    def blocks(state, sets, similarity, block_rows, real=near_dedup.block_links):
+        compared[name] += sum(r["count"] ** 2 for r in state.groupBy("family").count().collect())
+        return real(state, sets, similarity, block_rows)
+
+    monkeypatch.setattr(near_dedup, "verified", counted)
+    monkeypatch.setattr(near_dedup, "block_links", blocks)
+    for name in (400, 800):
+        rows = templates(name)
+        got = near_dedup.report(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA), shingle=2).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(rows, 2))
+    assert compared[800] < 3 * compared[400] < 30 * 400, compared
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert near_dedup.report(empty).count() == 0 and near_dedup.deduplicate(empty).count() == 0
