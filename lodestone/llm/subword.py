@@ -13,7 +13,8 @@ segmentation in falling perturbed order, without rejection. With the (k+1)-th va
 probability of a segmentation is 1 - exp(-exp(log p - threshold)). Random numbers are hashes of (seed, row key, sample,
 place), so a row's samples do not depend on its partition.
 
-Words are looked up once per block of documents, and sums, draws and agenda values are array operations over the block.
+A word of many characters is cut where no piece spans two neighbours; the parts are independent, so texts without spaces
+(lines, tables, scripts that have none) cost what others do. Words are looked up once per block of documents, and sums, draws and agenda values are array operations over the block.
 Null texts count as empty and have one empty segmentation; a text with fewer than k segmentations gives them all. Whole
 texts are encoded. Repeated rows give repeated results; an empty table an empty result; extra columns are not read.
 """
@@ -32,6 +33,8 @@ from .common import read_table, slices, small_batches
 
 MODEL, SAMPLES, SEED, ZIPF = "/opt/tokenizers/piece_bpe_32k.model", 2, 7, 10.0
 SPACE, BLOCK_WORDS = "▁", 40_000
+#: Words of more characters are cut where no piece spans, so many characters at a time; a block counts a word for so many.
+LONG_WORD, CUT_CHARS, WORD_CHARS = 32, 1 << 18, 8
 #: Steps looked at first, and the largest Gumbel that `uniform` can give, rounded up.
 WINDOW, NOISE = 96, 37.0
 #: Most pieces that end at a place have at most so many characters; sums over longer ones are made only where there are some.
@@ -135,17 +138,50 @@ class Trie:
         return out
 
 
+def cut(words: list[str], trie: Trie) -> list[list[str]]:
+    """Long words (each opened by a space) in parts that no piece spans, so that their segmentations are independent.
+
+    A text without spaces (lines, tables, scripts that have none) is one word here; its parts are as short as words."""
+    text = "".join(words)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    far = np.empty(len(codes), np.int64)  # how far the pieces that start at a character reach
+    for start in range(0, len(codes), CUT_CHARS):
+        classes = trie.classes[codes[start : start + CUT_CHARS + trie.width]].astype(np.int32)
+        n = min(CUT_CHARS, len(codes) - start)
+        far[start : start + n] = np.arange(start + 1, start + n + 1)
+        at, nodes = np.arange(n), np.zeros(n, np.int32)
+        for length in range(1, trie.width + 1):
+            on = at + length <= len(classes)
+            at, nodes = at[on], trie.step(nodes[on], classes.take(at[on] + (length - 1)))
+            on = np.flatnonzero(nodes)
+            at, nodes = at.take(on), nodes.take(on)
+            hit = at[trie.piece.take(nodes) >= 0]
+            far[start + hit] = start + hit + length
+    edges = np.arange(1, len(codes))
+    ends = np.append(edges[np.maximum.accumulate(far)[:-1] <= edges], len(codes)).tolist()  # pieces cross no start of a word, so words end there too
+    out: list[list[str]] = []
+    begin = 0
+    for end in ends:
+        if text[begin] == " ":
+            out.append([])
+        out[-1].append(text[begin:end])
+        begin = end
+    return out
+
+
 class Lattice:
     """All words of a block: a row per character of each different word, and the edges that end there, by length.
 
+    Words start with the space that opens them; parts of long words that no piece spans are words of their own.
+
     piece[row, n-1]: the piece of n characters that ends at row, -1 without one, -2-c for the bytes of character c.
     log_q: its log-probability given that an edge ends there, from forward sums over all segmentations of the word up
     to there. cum: the same, cumulative."""
 
     def __init__(self, words: list[str], trie: Trie, vocabulary: Vocabulary):
-        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(sizes, kind="stable")
-        text = " " + " ".join(map(words.__getitem__, order.tolist())) if words else ""
+        text = "".join(map(words.__getitem__, order.tolist()))
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         sorted_sizes = sizes[order]
         begins = np.concatenate([[0], np.cumsum(sorted_sizes)])[:-1]
@@ -317,6 +353,25 @@ def agenda_values(path: Path, slots: np.ndarray, level: np.ndarray, keys: np.nda
     return -np.log(np.exp(-level[slots][owner]) + e * np.exp(-mass)), before, spot, ends, rest
 
 
+def in_parts(words: list[str], kind: np.ndarray, count: np.ndarray, trie: Trie) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Different words, which of them each word of the block is, words by document; the same with long words cut in parts."""
+    long = [i for i, w in enumerate(words) if len(w) > LONG_WORD]
+    opened = [" " + w for w in words]
+    if not long:
+        return opened, kind, count
+    pieces = [[w] for w in opened]
+    for i, parts in zip(long, cut([opened[i] for i in long], trie), strict=True):
+        pieces[i] = parts
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    every = list(chain.from_iterable(pieces))
+    different = list(dict.fromkeys(every))
+    which = np.fromiter(map(dict(zip(different, range(len(different)), strict=True)).__getitem__, every), np.int64, len(every))
+    times = sizes[kind]
+    ends = np.cumsum(times)
+    spread = np.arange(int(times.sum())) - np.repeat(ends - times - (np.cumsum(sizes) - sizes)[kind], times)
+    return different, which[spread], np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(count)])])
+
+
 def sample_block(texts: list[str], row_keys: np.ndarray, trie: Trie, vocabulary: Vocabulary, k: int):
     """Per sample: documents that have it, ids (flat), their ends, log-probabilities, perturbed values, log inclusion."""
     split = [t.split(" ") if t else [] for t in texts]
@@ -324,10 +379,11 @@ def sample_block(texts: list[str], row_keys: np.ndarray, trie: Trie, vocabulary:
     every = list(chain.from_iterable(split))
     different = list(dict.fromkeys(every))
     kind = np.fromiter(map(dict(zip(different, range(len(different)), strict=True)).__getitem__, every), np.int64, len(every))
+    del split, every
+    different, kind, count = in_parts(different, kind, count, trie)
     word_ends = np.cumsum(count)
     word_starts = word_ends - count
-    owner = np.repeat(np.arange(len(split)), count)
-    del split, every
+    owner = np.repeat(np.arange(len(texts)), count)
     lattice = Lattice(different, trie, vocabulary)
     place = np.arange(len(kind)) - word_starts[owner]
     keys = scramble(row_keys[owner] + place.astype(U) * U(0xA24BAED4963EE407))
@@ -436,12 +492,15 @@ def ids_of(path: Path, lattice: Lattice, vocabulary: Vocabulary) -> tuple[np.nda
     counts = np.ones(n, np.int64)
     if not len(odd):
         return pieces, counts
-    spelt = {c: vocabulary.byte_ids[list(chr(-2 - c).encode("utf-8", "surrogatepass"))] for c in np.unique(pieces[odd]).tolist()}
-    counts[odd] = [len(spelt[c]) for c in pieces[odd].tolist()]
-    ends = np.cumsum(counts)
+    letters, which = np.unique(pieces[odd], return_inverse=True)
+    spelt = [vocabulary.byte_ids[list(chr(-2 - c).encode("utf-8", "surrogatepass"))] for c in letters.tolist()]
+    widths = np.array([len(x) for x in spelt])[which]
+    counts[odd] = widths
+    begins = np.cumsum(counts)[odd] - widths
     out = np.repeat(pieces, counts)
-    for i, c in zip(odd.tolist(), pieces[odd].tolist(), strict=True):
-        out[ends[i] - counts[i] : ends[i]] = spelt[c]
+    for k in range(int(widths.max())):
+        some = np.flatnonzero(widths > k)
+        out[begins[some] + k] = np.array([x[k] if k < len(x) else -1 for x in spelt])[which[some]]
     return out, counts
 
 
@@ -469,7 +528,7 @@ def encode_batches(batches, plain: tuple, k: int, seed: int, check: bool):
     for batch in slices(batches):
         doc_ids = batch.column("doc_id").to_pylist()
         texts = [t or "" for t in batch.column("text").to_pylist()]
-        spaces = [t.count(" ") for t in texts]
+        spaces = [max(t.count(" "), len(t) // WORD_CHARS) for t in texts]
         start = 0
         while start < len(texts):
             stop, words = start + 1, spaces[start]

@@ -87,6 +87,42 @@ def test_round_trip_of_whole_texts(spark, k):
     assert sorted(map(key, texts)) == sorted(map(key, again.collect()))
 
 
+def test_cuts_change_no_law(vocabulary, trie, monkeypatch):
+    """With every word cut where it can be, samples and their log-probabilities are those of the whole word's lattice."""
+    text = "th\ner\u4e00of"
+    assert trie.classes[ord("\n")] == 0 or len(subword.cut([" " + text], trie)[0]) > 2
+    whole = draw(text, 2000, 2, trie, vocabulary)
+    monkeypatch.setattr(subword, "LONG_WORD", 0)
+    monkeypatch.setattr(subword, "CUT_CHARS", 3)
+    parts = draw(text, 2000, 2, trie, vocabulary)
+    law = {s: p for row in whole for s, p, *_ in row}
+    assert len(subword.cut([" " + text], trie)[0]) > 2 and "".join(subword.cut([" " + text], trie)[0]) == " " + text
+    assert all(abs(p - law.get(s, p)) < 1e-9 for row in parts for s, p, *_ in row)
+    first = [Counter(row[0][0] for row in x) for x in (whole, parts)]
+    for s, n in first[0].most_common(5):
+        assert abs(n - first[1][s]) < 6 * np.sqrt(n)
+    for text in ("ther", "other", " a  thing"):
+        assert [len(x) for x in subword.cut([" " + w for w in text.split(" ")], trie)] == [1] * len(text.split(" ")) or "".join(sum(subword.cut([" " + w for w in text.split(" ")], trie), [])) == " " + text
+
+
+def test_texts_without_spaces_cost_what_others_do(spark, vocabulary, trie):
+    import time
+
+    r = np.random.default_rng(0)
+    words = ["".join(chr(97 + c) for c in r.integers(0, 26, 1 + r.integers(0, 9))) for _ in range(20_000)]
+    texts = {"spaces": " ".join(words), "lines": "\n".join(words), "tabs": "\t".join(words), "han": "".join(chr(c) for c in r.integers(0x4E00, 0x9FA5, 100_000)), "one word": "".join(chr(97 + c) for c in r.integers(0, 26, 1_000_000))}
+    plain, keys = (vocabulary.plain(), trie.plain()), ["doc_id", "text"]
+    speed = {}
+    for name, text in texts.items():
+        batch = subword.pa.RecordBatch.from_arrays([subword.pa.array([1]), subword.pa.array([text])], names=keys)
+        began = time.perf_counter()
+        out = list(subword.encode_batches([batch], plain, 2, 7, True))
+        speed[name] = len(text) / (time.perf_counter() - began)
+        assert len(out) == 1 + (name != "han") and all(x.column("exact").to_pylist() == [True] for x in out)  # bytes alone have one segmentation
+    print(speed)
+    assert min(speed.values()) > 0.2 * speed["spaces"], speed  # half, and room for a busy machine
+
+
 def test_long_samples_differ_and_empty_table(spark):
     got = subword.encode(spark.createDataFrame([(1, TEXTS[7], "", 1)], SCHEMA), k=3).collect()
     assert len({tuple(r.ids) for r in got}) == 3 and np.isfinite([r.log_inclusion for r in got]).all()
