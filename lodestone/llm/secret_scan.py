@@ -2,15 +2,17 @@
 
 Base patterns find assigned credentials, access keys and long hexadecimal runs. The lexer then reads source and
 configuration syntax: around each of = : := => it takes the name on the left (bare or quoted, dotted, with the words of
-snake, kebab or camel case) and the value on the right (quoted literals, joined by +; bare words; references like NAME,
-$NAME, ${NAME}). Constants propagate: a name remembers the literals assigned to it, and a reference passes its literals
-on, however many steps, so `base = "x7..."` is found when `db.password = base` follows. A literal's score is the weight
+snake, kebab or camel case) and the value on the right (quoted literals with escapes, of one or three quotes, joined by +;
+bare words; lines further in below `name:` or `name: |`; references like NAME, $NAME, ${NAME}). A type between name and
+value is passed over, and of a pair of attributes key="name" value="..." the value belongs to the name. Constants
+propagate: a reference passes on the literals of the last assignment to its name before it, or of the first one after,
+however many steps and round any cycle, so `base = "x7..."` is found when `db.password = base` follows or precedes. A literal's score is the weight
 of the most sensitive target name it reaches plus what its shape adds (length, entropy of its characters, mixed
 classes); literals that reach LEAST are spans of kind `lexed`, unless a base span covers them. Placeholders are no
 secrets.
 
-Spans are code points, end exclusive. Whole texts are read; null counts as empty; no text gives no span. Extra columns
-are not read. Repeated rows give repeated rows. Matching is linear in the text.
+Spans are code points, end exclusive. Whole texts are read; null counts as empty; no text gives no span; an empty table
+gives an empty result. Extra columns are not read. Repeated rows give repeated rows. Matching is linear in the text.
 """
 
 from __future__ import annotations
@@ -41,6 +43,13 @@ PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|.*(?
 OPERATOR = re.compile(r":=|=>|[=:]")
 BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]+""")
 BRACED = re.compile(r"\$\{([A-Za-z_][\w.]*)[^}\n]*\}", re.ASCII)
+#: What ends or hides the end of a literal, by its quotes.
+STOPS = {mark: re.compile(r"\\.|\n|" + mark) for mark in "\"'"} | {mark: re.compile(r"\\.|" + mark, re.DOTALL) for mark in ("`", '"""', "'''")}
+INDENT, BLOCK, LINE = re.compile(r"[ \t]*"), re.compile(r"[ \t]*([|>][+-]?)?[ \t]*\n"), re.compile(r"([ \t]*)([^\n]*?)[ \t\r]*(?:\n|\Z)")
+ANNOTATION = re.compile(r"[ \t]*[A-Za-z_][\w.]*(?:\[[\w.\[\], |]*\]|<[\w.<>, |]*>)?\??(?:[ \t]*\|[ \t]*[A-Za-z_][\w.]*)*[ \t]*", re.ASCII)
+#: Attributes that name a setting and that hold its value, and what may lie between them.
+KEY_WORDS, VALUE_WORDS = {"key", "name", "id", "property", "setting"}, {"value", "val", "content"}
+BETWEEN = re.compile(r"[^<>{}\n]*\n?[^<>{}\n]*")
 REFERENCE = re.compile(r"\$([A-Za-z_][\w.]*)|([A-Za-z_][\w.]*)", re.ASCII)
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
@@ -86,31 +95,74 @@ def name_before(text: str, at: int) -> str:
     return text[j:i].strip(".-")
 
 
-def value_after(text: str, at: int) -> tuple[list[tuple[int, int]], list[str], int]:
-    """Literals and referenced names of the value that starts after an operator, and where it ends."""
-    literals, names, n = [], [], len(text)
+def closing(text: str, at: int) -> tuple[int, int]:
+    """Of a quoted literal that opens here: where it ends and where its quotes end; escapes hide quotes, one line unless
+    the quotes are threefold or backticks. (-1, -1) if nothing closes it."""
+    mark = text[at : at + 3] if text[at : at + 3] in ('"""', "'''") else text[at]
+    end = at + len(mark)
+    while m := STOPS[mark].search(text, end):
+        if m.group() == mark:
+            return m.start(), m.end()
+        if m.group() == "\n":
+            break
+        end = m.end()
+    return -1, -1
+
+
+def indent(text: str, at: int) -> int:
+    """Columns of space that open the line of this place."""
+    start = text.rfind("\n", 0, at) + 1
+    return INDENT.match(text, start).end() - start
+
+
+def lines_below(text: str, at: int) -> tuple[list[tuple[int, int]], int]:
+    """Literals of a key whose value is on the next lines, further in: all lines after | or >, else one."""
+    m = BLOCK.match(text, at)
+    if not m:
+        return [], at
+    depth, literals, at = indent(text, at), [], m.end()
+    while m_line := LINE.match(text, at):
+        deeper = m_line.end(1) - m_line.start(1) > depth and m_line.end(2) > m_line.start(2)
+        if not deeper or not m.group(1) and (OPERATOR.search(m_line.group(2)) or m_line.group(2)[0] in "-#\"'"):
+            break
+        literals.append(m_line.span(2))
+        at = m_line.end()
+        if not m.group(1):
+            break
+    return literals, at
+
+
+def value_after(text: str, at: int, below: bool = False) -> tuple[list[tuple[int, int]], list[str], list[tuple[int, int]], int]:
+    """Quoted literals, referenced names and bare words of the value that starts after an operator, and where it ends."""
+    literals, names, bare, n = [], [], [], len(text)
+    if below:
+        literals, end = lines_below(text, at)
+        if literals:
+            return literals, names, bare, end
     while True:
         while at < n and text[at] in " \t":
             at += 1
         if at < n and text[at] in "\"'`":
-            end = text.find(text[at], at + 1)
-            if end < 0 or text.find("\n", at, end) >= 0:
-                return literals, names, at + 1
-            literals.append((at + 1, end))
-            at = end + 1
+            end, after = closing(text, at)
+            if end < 0:
+                return literals, names, bare, at + 1
+            start = at + (3 if after - end == 3 else 1)
+            inner = text[start:end]
+            literals.append((start + len(inner) - len(inner.lstrip()), max(start + len(inner) - len(inner.lstrip()), end - len(inner) + len(inner.rstrip()))))
+            at = after
         elif m := BRACED.match(text, at):
             names.append(m.group(1))
             at = m.end()
         else:
             m = BARE.match(text, at)
             if not m:
-                return literals, names, at
+                return literals, names, bare, at
             word = m.group()
             ref = REFERENCE.fullmatch(word.rstrip(".,"))
             if ref:
                 names.append(next(g for g in ref.groups() if g))
             if not ref or ref.group(2):
-                literals.append((at, at + len(word.rstrip(".,:"))))
+                bare.append((at, at + len(word.rstrip(".,:"))))
             at = m.end()
         after = at
         while after < n and text[after] in " \t":
@@ -118,38 +170,71 @@ def value_after(text: str, at: int) -> tuple[list[tuple[int, int]], list[str], i
         if after < n and text[after] == "+":
             at = after + 1
         else:
-            return literals, names, at
+            return literals, names, bare, at
 
 
-def lexed_spans(text: str) -> list[tuple[int, int, str, float]]:
-    """Literals with the name that makes them sensitive and their score."""
-    known: dict[str, int] = {}  # the last assignment to each name
-    made: list[tuple[list[tuple[int, int]], list[int], bool]] = []  # an assignment's literals, those it refers to, whether any literal is behind it
-    top: list[tuple[float, str]] = []
-    best: dict[tuple[int, int], tuple[float, str]] = {}
-    pos = 0
+def assignments(text: str) -> list[tuple[str, list, list[str], list]]:
+    """Name, quoted literals, referenced names and bare words of each assignment, in order.
+
+    `name: type = value` assigns to the name, and of an attribute pair (key="name" value="...") the value does."""
+    made, pos = [], 0
+    typed = (-1, "")  # where the last name with a colon's value starts, and the name
+    label = (-1, "")  # where the last key="..." ends, and what it holds
     while m := OPERATOR.search(text, pos):
         name = name_before(text, m.start())
         pos = m.end()
+        if m.group() == "=" and name_score(typed[1]) > name_score(name) and ANNOTATION.fullmatch(text, typed[0], m.start()):
+            name = typed[1]
+            made[-1] = (name, [], [], [])  # what the colon opened is a type
         if not name:
             continue
-        literals, names, end = value_after(text, pos)
-        reached = [known[ref] for ref in dict.fromkeys(names) if ref in known and made[known[ref]][2]]
-        if reached:
-            literals = [s for s in literals if text[s[0] : s[1]] not in known]
-        known[name] = len(made)
-        made.append((literals, reached, bool(literals or reached)))
-        weight = name_score(name)
-        top.append((weight, name) if weight else (0.0, ""))
-        pos = max(pos, end if literals or names else pos)
+        literals, names, bare, end = value_after(text, pos, m.group() == ":")
+        typed = (pos, name) if m.group() == ":" else (-1, "")
+        last = name.rpartition(".")[2].lower()
+        if last in VALUE_WORDS and label[0] >= 0 and literals:
+            name = label[1] if BETWEEN.fullmatch(text, label[0], m.start()) else name
+            label = (-1, "")
+        elif last in KEY_WORDS and len(literals) == 1 and not bare:
+            label = (literals[0][1] + 1, text[slice(*literals[0])])
+        made.append((name, literals, names, bare))
+        pos = max(pos, end if literals or names or bare else pos)
         if text[pos - 1 : pos] in ("=", ":") and pos > m.end():
             pos -= 1
-    for i in range(len(made) - 1, -1, -1):  # references go back only, so each assignment's weight is final when it is met
-        if top[i][0]:
-            for s in made[i][0]:
-                best[s] = max(best.get(s, (0.0, "")), top[i])
-            for j in made[i][1]:
-                top[j] = max(top[j], top[i])
+    return made
+
+
+def lexed_spans(text: str) -> list[tuple[int, int, str, float]]:
+    """Literals with the name that makes them sensitive and their score."""
+    made = assignments(text)
+    places: dict[str, list[int]] = {}
+    for i, (name, literals, names, bare) in enumerate(made):
+        if literals or names or bare:
+            places.setdefault(name, []).append(i)
+
+    def definition(name: str, user: int) -> int:
+        """The last assignment to a name before its user, otherwise the first one after; -1 without one."""
+        known = places.get(name, ())
+        at = bisect.bisect_left(known, user)
+        if at:
+            return known[at - 1]
+        return next((i for i in known[at : at + 2] if i != user), -1)
+
+    values, reached = [], []
+    for i, (_, literals, names, bare) in enumerate(made):
+        to = {name: j for name in dict.fromkeys(names) if (j := definition(name, i)) >= 0}
+        reached.append(list(to.values()))
+        values.append(literals + [s for s in bare if text[slice(*s)] not in to])
+    best: dict[tuple[int, int], tuple[float, str]] = {}
+    done = [False] * len(made)
+    for source in sorted(((weight, name, i) for i, (name, *_) in enumerate(made) if (weight := name_score(name))), reverse=True):
+        todo = [source[2]]  # the weightiest name first, so each assignment is met once, with the weightiest that reaches it
+        while todo:
+            i = todo.pop()
+            if not done[i]:
+                done[i] = True
+                for s in values[i]:
+                    best[s] = max(best.get(s, (0.0, "")), source[:2])
+                todo += reached[i]
     scored = ((s, name, weight + literal_score(text[s[0] : s[1]])) for s, (weight, name) in best.items())
     return sorted((a, b, name, round(score, 3)) for (a, b), name, score in scored if score >= LEAST)
 

@@ -55,6 +55,33 @@ def test_names_literals_and_constants():
     assert lexed(f'password="{secret}"') == []  # the base span covers it
 
 
+def test_syntax_of_sources_and_configurations():
+    secret = "q8Zk3mPw9sLx2vRt"
+    assert lexed(f'db_pwd = "q8Zk\\"{secret}"') == [f'q8Zk\\"{secret}']  # an escaped quote
+    assert lexed(f'db_pwd: str = "{secret}"') == lexed(f"const dbPwd: string | null = \'{secret}\'") == lexed(f'dbPwd: Optional[str] = "{secret}"') == [secret]
+    assert lexed(f'<add key="dbPwd" value="{secret}"/>') == lexed(f'{{"name": "dbPwd", "type": "text", "value": "{secret}"}}') == [secret]
+    assert lexed(f'<add key="colour" value="{secret}"/>') == lexed(f'<a key="dbPwd"/><b value="{secret}"/>') == []
+    assert lexed(f"db_pwd:\n  {secret}\nother: x") == lexed(f"a:\n  db_pwd: |\n    {secret}\n  b: {secret}") == [secret]
+    assert lexed(f"db_pwd:\n{secret}") == lexed(f"db_pwd:\n  name: {secret}") == []
+    assert lexed(f'db_pwd = """\n  {secret}\n"""') == [secret]
+    assert lexed(f'note: the db_pwd = "{secret}"') == [secret]
+    assert lexed(f'db.password = middle\nmiddle = base\nbase = "{secret}"') == [secret]  # used before it is defined
+    assert lexed(f'a = b\nb = a\nb = "{secret}"\npwd = a') == []  # a is the first b, which is a again
+    assert lexed(f'b = "{secret}"\na = b\nb = a\npwd = b') == [secret]
+
+
+def test_long_texts_take_time_in_proportion():
+    import time
+
+    for unit in ('a: b = `', '="""', 'key="a" ', "value='x' ", "a:\n b", 'x = x + "', "a: b | ", "$a=$b\n", "n = m\nm = n\n"):
+        took = []
+        for times in (20_000, 80_000):
+            began = time.perf_counter()
+            ss.spans_of(unit * times)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 12 * took[0] + 0.5, unit
+
+
 def test_no_literal_of_a_name_is_forgotten():
     secret = "q8Zk3mPw9sLx2vRt"
     parts = [f"q8Zk3mPw{i:05}" for i in range(20_000)]
