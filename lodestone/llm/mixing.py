@@ -13,7 +13,9 @@ blocks are disjoint. Within a shard, documents are shuffled by hash.
 
 Only (source, cell) sums are shuffled to plan; documents meet the plan on (source, cell), so that a source with a third
 of all rows is spread over CELLS keys. Empty texts have size 0 and are taken as 0 words. Repeated rows are documents of
-their own. An empty table gives an empty result.
+their own; equal hashes go by doc_id, then size. Texts of any length are counted whole, and mix() takes them whole: its
+last pass is rounded to documents, which report() cuts at the word, and documents without words are not in the mix. Extra
+columns of any name stay in mix() and are not read by report(). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -120,12 +122,18 @@ def with_taken(rows: DataFrame, planned: DataFrame, seed: int = SEED, whole_docu
     side = F.broadcast(planned) if planned.count() * 128 <= BROADCAST_BYTES else planned
     met = rows.join(side, ["key", "cell"])
     sure = met.filter("cut IS NULL").withColumn("taken", F.col("times") * F.col("size"))
-    order = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size")  # one cut block a source
-    left = F.col("cut") - F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # One block a source is cut, at a place in the order of the documents' hash: sums of its 4096 ranges first, so that a
+    # window ranks the rows of a range and not the block.
+    cut = met.filter("cut IS NOT NULL").withColumn("_ls_hash", F.xxhash64(F.lit(seed + 1), "doc_id")).withColumn("_ls_range", F.shiftright("_ls_hash", 52))
+    by_range = Window.partitionBy("key").orderBy("_ls_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = cut.groupBy("key", "_ls_range").agg(F.sum("size").alias("_ls_words")).select("key", "_ls_range", F.coalesce(F.sum("_ls_words").over(by_range), F.lit(0)).alias("_ls_before"))
+    order = Window.partitionBy("key", "_ls_range").orderBy("_ls_hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("cut") - F.col("_ls_before") - F.coalesce(F.sum("size").over(order), F.lit(0))
     part = F.least(F.col("size"), F.greatest(left, F.lit(0)))
     if whole_documents:
         part = F.when(left * 2 >= F.col("size"), F.col("size")).otherwise(0)
-    return sure.unionByName(met.filter("cut IS NOT NULL").withColumn("taken", F.col("times") * F.col("size") + part))
+    parted = cut.join(ranges, ["key", "_ls_range"]).withColumn("taken", F.col("times") * F.col("size") + part)
+    return sure.unionByName(parted.select(*sure.columns))
 
 
 def report(docs: DataFrame, **options) -> DataFrame:

@@ -8,7 +8,8 @@ ordered thresholds, so the model gives the expected grade and the probability of
 Fitted (full-batch Adam, on the driver) on at most `sample` labelled documents, the least by hash of doc_id; features are
 made on the executors from whole texts and fit in BUCKETS entries. Scoring gathers the weights of a document's words.
 Null and empty texts have the length feature only. With no labels, or one grade, every document gets that grade (or 1)
-and stays. Repeated rows get the same score. Columns of the documents other than text are not inputs.
+and stays. Repeated rows get the same score, and so do texts with equal words (ties: at the threshold a document stays).
+An empty table gives an empty result. Columns of the documents other than text are not inputs and stay as they are.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ class WordFeatures(dict):
     def __missing__(self, word: bytes) -> int:
         shape = DIGIT.sub(b"9", LOWER.sub(b"x", UPPER.sub(b"X", word.replace(b"X", b"A").replace(b"x", b"a"))))
         room = BUCKETS - 64
-        value = xxhash.xxh64_intdigest(word.lower(), 5) % room << 20 | xxhash.xxh64_intdigest(shape[:24], 6) % room
+        value = xxhash.xxh64_intdigest(word.lower(), 5) % room << 20 | xxhash.xxh64_intdigest(shape, 6) % room
         if len(self) >= LIMIT:
             self.clear()
         self[word] = value

@@ -1,8 +1,9 @@
 """Toxic spans by a linear-chain conditional random field over a document's words.
 
 Labelled tokens come from labelled documents: among at most `sample` of them, words and word openings that mark toxic
-documents beyond chance are ranked by likelihood ratio and kept while they explain toxic documents (of at most TOXIC) that stronger ones
-left unexplained; in toxic documents, the words that carry one are labelled toxic, all others clean. The field has two
+documents beyond chance (in LEAST_TOXIC of them or more, a log-likelihood ratio over LEAST_RATIO, at most one clean
+document for CLEAN_SHARE toxic ones; the FEATURES strongest) are ranked by that ratio and kept while they explain toxic
+documents (of at most TOXIC) that stronger ones left unexplained; in toxic documents, the words that carry one are labelled toxic, all others clean. The field has two
 states and learns emission weights of those features, a bias and transitions by maximum likelihood (forward-backward
 over whole documents, at most `sequences` per class). At scoring, exact forward-backward marginals give every word's
 probability; a document's score is a logistic function, fitted on the training documents, of its largest marginal and
@@ -24,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, slices, small_batches
 
 SAMPLE, TOXIC, SEQUENCES, FEATURES, STEPS, RIDGE = 20_000, 4000, 800, 20_000, 60, 2e-3
+LEAST_TOXIC, LEAST_RATIO, CLEAN_SHARE = 3, 6, 20
 OPENINGS = (3, 4, 5, 6)
 LIMIT = 100_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -48,7 +50,7 @@ def count_batches(batches):
     """(text, toxic) -> feature, toxic and clean documents with it, in this task."""
     toxic, clean = Counter(), Counter()
     out = lambda: pa.RecordBatch.from_arrays([pa.array(list(toxic) + list(clean)), pa.array([*toxic.values(), *[0] * len(clean)], pa.int64()), pa.array([*[0] * len(toxic), *clean.values()], pa.int64())], names=["feature", "toxic", "clean"])
-    for batch in batches:
+    for batch in slices(batches):
         for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             (toxic if y else clean).update({f for w in set(words_of(text)) for f in features_of(w)})
             if len(toxic) + len(clean) > 1_000_000:
@@ -227,21 +229,21 @@ def fit_head(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sequences: int = SEQUENCES) -> Model:
     """labels: doc_id, toxic. At most `sample` labelled documents are read, those with the least hash of doc_id."""
     labels = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), (F.col("toxic") > 0).alias("toxic"))
-    chosen = labels.orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    chosen = labels.orderBy(F.xxhash64("_id"), "_id", "toxic").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "toxic")  # `sample` rows at most
     sizes = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
     if not n_toxic or not n_clean:
         rate = n_toxic / max(1, n_toxic + n_clean)
         return Model({}, -9.0, np.zeros((2, 2)), 0.0, [math.log((rate + 1e-6) / (1 - rate + 1e-6)), 0.0, 0.0])
-    counted = rows.mapInArrow(count_batches, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).filter("t >= 3")
+    counted = rows.mapInArrow(count_batches, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).filter(F.col("t") >= LEAST_TOXIC)
     base = n_toxic / (n_toxic + n_clean)
     n = F.col("t") + F.col("c")
     ratio = F.col("t") * F.log(F.col("t") / (n * base)) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (n * (1 - base)))).otherwise(0.0)
-    strong = counted.withColumn("ratio", ratio).filter((F.col("ratio") > 6) & (F.col("c") * 20 <= F.col("t"))).orderBy(F.desc("ratio"), F.length("feature").desc(), "feature").limit(FEATURES).collect()
+    strong = counted.withColumn("ratio", ratio).filter((F.col("ratio") > LEAST_RATIO) & (F.col("c") * CLEAN_SHARE <= F.col("t"))).orderBy(F.desc("ratio"), F.length("feature").desc(), "feature").limit(FEATURES).collect()
     candidates = [(r["feature"], r["ratio"]) for r in strong]
     nth = F.xxhash64("_id", F.lit(7))
-    per_class = [chosen.filter(F.col("toxic") == flag).orderBy(nth, "_id").limit(limit) for flag, limit in ((True, TOXIC), (False, sequences))]
+    per_class = [chosen.filter(F.col("toxic") == flag).orderBy(nth, "_id", "toxic").limit(limit) for flag, limit in ((True, TOXIC), (False, sequences))]
     some = docs.select("doc_id", "text").join(F.broadcast(per_class[0].unionByName(per_class[1])), F.col("doc_id") == F.col("_id")).select("text", "toxic")  # TOXIC and `sequences` rows at most
     index = {f: i for i, (f, _) in enumerate(candidates)}
     held = some.mapInArrow(lambda batches: sequence_batches(batches, index), "n int, at array<int>, ids array<int>, toxic int").toArrow()
@@ -268,7 +270,7 @@ def score_batches(batches, plain: tuple):
     """(doc_id, text) -> doc_id, score, spans: words with a marginal of a half or more."""
     model = Model(*plain)
     known, unmarked = Emissions(model), Plain(model)
-    for batch in batches:
+    for batch in slices(batches):
         texts = batch.column("text").to_pylist()
         lengths, marked, parts = np.zeros(len(texts), np.int64), [], []
         for i, text in enumerate(texts):
@@ -295,6 +297,7 @@ def score_batches(batches, plain: tuple):
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, spans (start, end, probability), one row per document."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model.plain())
     return docs.select("doc_id", "text").mapInArrow(lambda batches: score_batches(batches, held.value), "doc_id long, score double, spans array<struct<start:int,end:int,probability:double>>")
 

@@ -31,6 +31,40 @@ def test_ordinal_fit_on_held_out_grades(spark):
     assert np.mean([(two[i] >= 0.5) == (g >= 2) for i, _, g in rows if i % 3 == 0]) > 0.9
 
 
+def test_fit_reaches_the_least_of_the_plain_likelihood():
+    """Against the likelihood written out row by row, minimised with numeric gradients."""
+    rng = np.random.default_rng(4)
+    idx, val, grade = [], [], []
+    for _ in range(60):
+        x = rng.normal(size=3)
+        idx.append(np.arange(3))
+        val.append(x)
+        grade.append(int(np.digitize(x @ [1.5, -1.0, 0.0] + rng.logistic(), [-1.0, 1.0])))
+    ridge = 1e-2
+
+    def loss(theta):
+        w, cuts = theta[:3], [theta[3], theta[3] + np.exp(theta[4])]
+        below = lambda k, z: 0.0 if k < 0 else 1.0 if k > 1 else 1 / (1 + np.exp(-(cuts[k] - z)))
+        return -np.mean([np.log(below(g, x @ w) - below(g - 1, x @ w)) for x, g in zip(val, grade, strict=True)]) + ridge / 2 * (w @ w)
+
+    theta, step = np.zeros(5), 1e-5
+    for _ in range(3000):
+        theta = theta - 0.3 * np.array([(loss(theta + step * e) - loss(theta - step * e)) / (2 * step) for e in np.eye(5)])
+    model = quality.fit_arrays(idx, val, np.array(grade), steps=1500, ridge=ridge)
+    assert np.allclose(model.weights[:3], theta[:3], atol=0.02) and np.allclose(model.thresholds, [theta[3], theta[3] + np.exp(theta[4])], atol=0.02)
+    z = np.array([x @ theta[:3] for x in val])
+    assert np.allclose(model.tails(z)[:, 0], 1 - 1 / (1 + np.exp(-(theta[3] - z))), atol=0.02)
+
+
+def test_whole_shapes_and_ties(spark):
+    long = "ab1" * 20
+    one, two = (quality.WordFeatures()[(long + end).encode()] & 0xFFFFF for end in ("!", "?"))
+    assert one != two  # they differ after many characters
+    docs = spark.createDataFrame([(1, "a b", "", 1), (2, "a  b", "", 1), (2, "a b", "", 1)], SCHEMA)
+    labels = spark.createDataFrame([(1, 0, ""), (2, 1, "")], LABELS)
+    assert len({r.t for r in quality.scored(docs, quality.fit(docs, labels)).selectExpr("_ls_quality.tail as t").collect()}) == 1
+
+
 def test_select_keeps_columns_and_judges_by_text_alone(spark):
     rows = list(graded(np.random.default_rng(1), 300))
     docs = spark.createDataFrame([(i, t, "x", 9) for i, t, _ in rows], SCHEMA)

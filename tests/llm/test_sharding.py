@@ -70,6 +70,16 @@ def test_rewrite_touches_only_changed_shards(spark, tmp_path):
     assert sum(p.count() for p in all_rows) == df.count()
 
 
+def test_many_shards_and_refused_names(spark, tmp_path):
+    n = 300
+    flow = sharding.min_cost_flow({i: 100 + i for i in range(n)}, sharding.equal_capacities(sum(100 + i for i in range(n)), n + 50))
+    gain = sharding.equal_capacities(sum(100 + i for i in range(n)), n + 50)
+    assert sum(m for (i, j), m in flow.items() if i == j) == sum(min(100 + i, gain[i]) for i in range(n)) and len(flow) < 4 * n
+    spark.createDataFrame([(1, "a", 1)], "doc_id long, text string, _ls_old int").write.parquet(f"{tmp_path}/x")
+    with pytest.raises(ValueError):
+        sharding.rewrite(spark, {0: f"{tmp_path}/x"}, 2, f"{tmp_path}/y")
+
+
 def test_empty(spark):
     assert sharding.report(spark.createDataFrame([], SCHEMA)).count() == 0
     assert [(r.shard, r.slot) for r in sharding.report(spark.createDataFrame([(1, None, "", 1)], SCHEMA)).collect()][0][1] == 0
