@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ SPACE_CLASS = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Broadcast only tables measured to be at most this large.
 BROADCAST_BYTES = 64 << 20
+_made: list[str] = []  # folders of work tables
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir; only where that is unset (tests, local mode), one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: work tables need a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -32,9 +37,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}/{name}"
-    atexit.register(remove, spark, path.rsplit("/", 1)[0])
-    return path
+    folder = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}"
+    _made.append(folder)
+    atexit.register(remove, spark, folder)
+    return f"{folder}/{name}"
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, spare: Callable[[], list[str]] = list):
+    """Remove the work tables made inside, when it ends well, but for the paths that spare() gives by then: what comes out
+    must be written."""
+    start = len(_made)
+    yield
+    paths = {path.rsplit("/", 1)[0] for path in spare()}
+    for folder in _made[start:]:
+        if folder not in paths:
+            remove(spark, folder)
+    _made[start:] = [folder for folder in _made[start:] if folder in paths]
 
 
 def remove(spark: SparkSession, path: str) -> None:

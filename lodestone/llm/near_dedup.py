@@ -295,13 +295,13 @@ def prefix_links(nodes: DataFrame, sets: DataFrame, similarity: int, block_rows:
     members = nodes.select("family", "node", F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt"), F.lit(1).alias("kind"))
     dealt = references.unionByName(members).join(sets, "node").repartition("family", "salt").sortWithinPartitions("family", "salt", "kind")
     rows = keep(dealt.mapInArrow(functools.partial(prefix_batches, similarity=similarity), "key long, node long"), "prefixes")
-    holders = rows.groupBy("key").agg(F.count(F.lit(1)).alias("holders"), F.min("node").alias("rep")).filter("holders > 1")
-    held = keep(rows.join(holders, "key"), "holders")
-    star = held.filter((F.col("holders") > hot_holders) & (F.col("node") != F.col("rep"))).select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
+    holders = rows.groupBy("key").agg(F.count(F.lit(1)).alias("holders"), F.min("node").alias("rep")).filter(F.col("holders") > hot_holders)
+    shared = small(keep(holders.select("key", "rep"), "hot"), 32)  # apart, so that no task gets all rows of a hot shingle
+    star = rows.join(shared, "key").filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
     smaller = components(star)
     hot = smaller.select(F.col("v").alias("node")).unionByName(smaller.select(F.col("root").alias("node")).distinct())
     hot = label(hot.join(nodes.select("node", "comp", "n"), "node"), smaller, "family").select("family", "node", "comp", "n")
-    lists = held.filter(F.col("holders") <= hot_holders).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("who"))
+    lists = rows.join(shared.select("key"), "key", "left_anti").groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("who")).filter(F.size("who") > 1)
     after = lambda i: F.slice("who", i + 2, F.size("who"))
     pairs = F.flatten(F.transform("who", lambda a, i: F.transform(after(i), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     met = lists.select(F.inline(pairs)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))

@@ -27,7 +27,7 @@ def _module(name: str):
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return import_module("corpus_pipeline").run(spark, sf_dir)
+    return import_module(f"{__package__}.pipeline").run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -549,18 +549,23 @@ def encode_batches(batches, plain: tuple, k: int, seed: int, check: bool):
             start = stop
 
 
-def encode(docs: DataFrame, k: int = SAMPLES, model: str = MODEL, seed: int = SEED, check: bool = False) -> DataFrame:
+def model_path(spark: SparkSession, model: str | None) -> str:
+    """The vocabulary file: as given, else by the setting lodestone.tokenizer, else MODEL. The driver alone reads it."""
+    return model or spark.conf.get("lodestone.tokenizer", MODEL)
+
+
+def encode(docs: DataFrame, k: int = SAMPLES, model: str | None = None, seed: int = SEED, check: bool = False) -> DataFrame:
     """doc_id, sample (from 0, by falling perturbed value), ids, log_prob, perturbed, log_inclusion; with check, exact: it decodes to the text."""
     small_batches(docs.sparkSession)
-    vocabulary = Vocabulary.load(model)
+    vocabulary = Vocabulary.load(model_path(docs.sparkSession, model))
     held = docs.sparkSession.sparkContext.broadcast((vocabulary.plain(), Trie.build(vocabulary).plain()))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(lambda batches: encode_batches(batches, held.value, k, seed, check), "doc_id long, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double, exact boolean")
 
 
-def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
+def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     """encoded (any columns, ids) with text, what the ids decode to."""
-    held = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(model).bytes)
+    held = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path(encoded.sparkSession, model)).bytes)
 
     @F.pandas_udf("string")
     def text(ids):

@@ -3,7 +3,8 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline
-from lodestone.llm import mixing, quality, subword
+from lodestone.llm import mixing, pipeline, quality, subword
+from lodestone.llm.common import keep
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -49,9 +50,9 @@ def test_stages(spark, brute):
     for (_, stage), want in zip(corpus_pipeline.STAGES[:3], kept, strict=True):
         got = stage(spark, docs, SF)
         assert got.columns == COLUMNS
-        docs = corpus_pipeline.keep(got, "test")
+        docs = keep(got, "test")
         assert sorted(r.doc_id for r in docs.collect()) == sorted(want)
-    mixed = corpus_pipeline.keep(corpus_pipeline.source_mixing(spark, docs, SF), "test")
+    mixed = keep(pipeline.source_mixing(spark, docs, SF), "test")
     assert mixed.columns == COLUMNS
     taken = Counter(r.doc_id for r in mixed.collect())
     assert set(taken) <= kept[-1] and max(taken.values()) <= 3
@@ -63,7 +64,7 @@ def test_stages(spark, brute):
     target = {r.source_size: r.target for r in mixing.report(docs).collect()}
     for s, n in by_source.items():
         assert abs(words[s] - target[n]) <= max(size[i] for i in kept[-1] if rows[i].source == s)
-    encoded = corpus_pipeline.sentencepiece_encoding(spark, mixed, SF)
+    encoded = pipeline.sentencepiece_encoding(spark, mixed, SF)
     decoded = Counter((r.doc_id, r.sample) for r in subword.decode(encoded).collect() if r.text == rows[r.doc_id].text)
     assert decoded == Counter({(i, s): n for i, n in taken.items() for s in range(2)})
 
@@ -75,5 +76,36 @@ def test_run_gives_the_last_stage(spark, brute):
 
 def test_last_stage_decodes_what_it_encodes(spark):
     docs = spark.createDataFrame([(1, "Some words, é and 漢字."), (2, ""), (3, None)], "doc_id long, text string")
-    got = corpus_pipeline.sentencepiece_encoding(spark, docs, SF).collect()
+    got = pipeline.sentencepiece_encoding(spark, docs, SF).collect()
     assert {r.doc_id for r in got} == {1, 2, 3} and all(r.exact is True for r in got)
+
+
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, taken string, ids int, `component_id` string"
+
+
+def test_odd_rows_and_extra_columns(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows and columns with names that stages use themselves."""
+    long = " ".join(f"word{i % 5000} more{i}" for i in range(60_000))
+    texts = ["Plain words here, a sentence of some length.", long, long + " end", "", None, " \n", "x" * 50_000, "PLAIN words here, a sentence of some length."]
+    rows = [(i, t, "en", "web", 1, "t", i, None) for i, t in enumerate(texts)]
+    rows += [rows[0], rows[0], (50, "only one", None, None, None, None, None, None), (None, "no identifier at all", "en", None, 1, "t", 1, "c")]
+    spark.createDataFrame(rows, EXTRA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, None), (10**6, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = []
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = keep(stage(spark, docs, str(tmp_path)), "test")
+        assert docs.schema.names == [f.name for f in spark.read.parquet(f"{tmp_path}/documents.parquet").schema], name
+        kept.append(Counter(r.doc_id for r in docs.collect()))
+    assert kept[0] == Counter(r[0] for r in rows)  # no labels of these documents: all stay
+    assert kept[1] == Counter([1, 2, 4, 5, 6, 7, 50, None])  # 0 equals 7, 3 equals 4
+    assert set(kept[2]) == {1, 4, 5, 6, 7, 50, None}  # 2 is nearly 1
+    assert set(kept[3]) <= {1, 6, 7, 50, None} and 1 in kept[3]
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == set(kept[3]) and all(r.exact for r in got)
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], EXTRA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
