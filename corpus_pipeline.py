@@ -1,53 +1,7 @@
-"""A training corpus from `documents`: rejected quality goes, copies and near copies go, sources are mixed, texts are encoded."""
+"""The corpus pipeline: quality, exact dedup, near dedup, mixing, encoding. Its stages are in lodestone.llm.pipeline."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from lodestone.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from lodestone.llm import exact_dedup, mixing, near_dedup, quality, subword
-from lodestone.llm.common import keep, read_table
-
-
-def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are at least as likely as not of the highest grade stay."""
-    return quality.select(docs, read_table(spark, sf_dir, "labels"))
-
-
-def exact_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest doc_id stays."""
-    return exact_dedup.deduplicate(docs)
-
-
-def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked at a similarity of 0.8 over five-word shingles, the document with the least doc_id stays."""
-    return near_dedup.deduplicate(docs)
-
-
-def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it, in shuffled shards."""
-    return mixing.mix(docs)
-
-
-def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of each document, each decoded again; `exact` tells whether that gave the text."""
-    return subword.encode(docs, check=True)
-
-
-STAGES = [
-    ("quality classifier", quality_classifier),
-    ("exact dedup", exact_deduplication),
-    ("MinHash near-dedup", near_deduplication),
-    ("mixing sources to target weights", source_mixing),
-    ("SentencePiece encoding and decoding", sentencepiece_encoding),
-]
-
-#: The first stage is a trained classifier and the later ones hash: SQL has neither. Tested against a brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table; each stage's result is written to the shared folder and read again."""
-    docs = read_table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = keep(stage(spark, docs, sf_dir), f"stage{i}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
