@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import kernels, similarity, text
 from lodestone.operators import doctype, email, forensics, neighbors, pii, ranking, structure, text_quality
 from lodestone.plans import schema
+from lodestone.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -436,7 +437,7 @@ def font_histogram(spark, d):
 
 
 @query("""WITH p AS (SELECT l_orderkey AS doc_id, l_linenumber AS page, 'image: noise' AS issue FROM lineitem WHERE l_quantity > 20)
-SELECT doc_id, CASE WHEN count(*) > 5 THEN 'image: issues on pages ' || string_agg(DISTINCT CAST(page AS VARCHAR), ', ' ORDER BY CAST(page AS VARCHAR)) ELSE string_agg('Page ' || CAST(page AS VARCHAR) || ': ' || issue, '|' ORDER BY page) END AS indicators FROM p GROUP BY 1""")
+SELECT doc_id, CASE WHEN count(*) > 5 THEN 'image: issues on pages ' || array_to_string(list_transform(list_sort(list_distinct(list(page))), lambda x: CAST(x AS VARCHAR)), ', ') ELSE string_agg('Page ' || CAST(page AS VARCHAR) || ': ' || issue, '|' ORDER BY page) END AS indicators FROM p GROUP BY 1""")
 def page_rollup(spark, d):
     issues = table(spark, d, "lineitem").filter("l_quantity > 20").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page"), F.lit("image: noise").alias("issue"))
     return forensics.page_rollup(issues).select("doc_id", F.array_join("indicators", "|").alias("indicators"))
@@ -452,8 +453,11 @@ def text_previews(spark, d):
 @query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'pdf' WHEN page_id % 3 = 1 THEN 'image' END AS kind, md5(html) AS md5, sha256(html) AS sha256, CASE WHEN page_id % 2 = 0 THEN page_id % 4 = 0 END AS trusted FROM pages")
 def file_digests(spark, d):
     path = F.expr("concat('/f/', page_id, CASE page_id % 3 WHEN 0 THEN '.PDF' WHEN 1 THEN '.jpg' ELSE '.xyz' END)")
-    known = F.expr("CASE WHEN page_id % 2 = 0 THEN CASE WHEN page_id % 4 = 0 THEN sha2(html, 256) ELSE 'x' END END")
-    return table(spark, d, "pages").select("page_id", forensics.kind_of(path).alias("kind"), F.md5("html").alias("md5"), F.sha2("html", 256).alias("sha256"), (F.sha2("html", 256) == known).alias("trusted"))
+    found = table(spark, d, "pages").select("page_id", path.alias("path"), F.col("html").cast("binary").alias("content")).withColumn("length", F.octet_length("content").cast("long")).withColumn("modificationTime", F.lit(None).cast("timestamp"))
+    known = F.expr("CASE WHEN page_id % 2 = 0 THEN CASE WHEN page_id % 4 = 0 THEN upper(sha2(content, 256)) ELSE 'x' END END")
+    facts = files.described(found, known)
+    page_id = F.regexp_extract("file_name", "^([0-9]+)", 1).cast("long").alias("page_id")
+    return facts.select(page_id, forensics.kind_of(F.col("path")).alias("kind"), "md5", "sha256", F.col("matches_trusted_hash").alias("trusted"))
 
 
 # --- structure, visuals, e-mail ---------------------------------------------------------------------------------------

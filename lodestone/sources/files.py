@@ -13,6 +13,7 @@ from lodestone.operators.ranking import PROVIDER_FIELDS
 
 # Keys under which a JSON document may hold its candidates, in order.
 WRAPPERS = ("providers", "data", "candidates")
+BUCKETS = 256
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -92,6 +93,8 @@ def write_report(assessed: DataFrame, path: str, form: str = "json") -> None:
 
 
 def write_attachments(rows: DataFrame, path: str) -> DataFrame:
-    """Payloads (content) as a table of files by e-mail; the rows come back without the bytes, with where they are."""
-    rows.write.mode("overwrite").partitionBy("email_id").parquet(path)
-    return rows.drop("content").withColumn("stored", F.concat(F.lit(f"{path}/email_id="), F.col("email_id").cast("string")))
+    """Payloads (content) as a table in BUCKETS folders by hash of the e-mail, sorted within, so that an e-mail is found by
+    its folder and the files' statistics; the rows come back without the bytes, with the folder they are in."""
+    bucket = F.pmod(F.xxhash64("email_id"), F.lit(BUCKETS)).cast("int")
+    rows.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "email_id").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    return rows.drop("content").withColumn("stored", F.concat(F.lit(f"{path}/bucket="), bucket.cast("string")))

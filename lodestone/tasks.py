@@ -25,9 +25,21 @@ def provider_ranking(queries: DataFrame, candidates: DataFrame, top_n: int = ran
 
 
 def email_preprocessing(files: DataFrame) -> DataFrame:
-    """Rows of .msg files: the fields that the parser finds, or an error."""
+    """Rows of .msg files: the fields and attachments that the parser finds, or an error."""
     good = email.messages(files).filter("error IS NULL")
-    return plugs.map_files(good, plugs.msg_rows, "subject string, body string, sender string, to string, cc string, bcc string, date string")
+    return plugs.map_files(good, plugs.msg_rows, f"{plugs.MSG_SCHEMA}, attachments {plugs.ATTACHMENT}")
+
+
+def email_report(emails: DataFrame, read: Callable[[DataFrame], DataFrame], config: dict[str, dict] | None = None, entities: list[str] | None = None) -> DataFrame:
+    """email_id, text, anonymised, entities: bodies with the texts of their attachments under headers, then anonymised.
+
+    emails: email_id, body, attachments (with content). read gets the attachments that are files to read (email_id, pos,
+    filename, route, content), each once per name and size, and gives their texts (email_id, pos, filename, text)."""
+    rows = email.attachments(emails).join(emails.select("email_id", F.posexplode("attachments").alias("pos", "a")).select("email_id", "pos", F.col("a.content").alias("content")), ["email_id", "pos"])
+    own = email.first_of_each(rows.filter(~F.col("is_embedded_email")))
+    texts = read(own.withColumn("route", email.route(F.col("filename"))).filter("route <> 'none'").select("email_id", "pos", "filename", "route", "content"))
+    whole = email.consolidate(emails.select("email_id", F.col("body").alias("text")), texts)
+    return pii.anonymize(whole, config, entities).select("email_id", "text", "anonymised", "entities")
 
 
 def forensic_analysis(files: DataFrame, config: forensics.Config = forensics.Config()) -> DataFrame:
