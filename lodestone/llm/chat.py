@@ -8,11 +8,14 @@ Windows: prefix sums of the turns' tokens choose turn-aligned spans. A span take
 within the budget, less, after the first window, the system turn and the part reserved for history. A later window
 repeats the system turn (the conversation's first) and up to `history` preceding turns that fit the reserve; what it
 repeats is masked, so each assistant text is a target exactly once. A turn larger than a budget is a window of its own,
-whole. Tokens are estimated as UTF-8 bytes / 4 plus the template's share.
+whole. Tokens of a turn are counted by the caller's tokenizer if a column with the counts is named (of the turn as
+rendered); otherwise by an exact upper bound, its UTF-8 bytes as rendered, as no piece of a vocabulary with byte fallback
+covers less than a byte. Either way a window of several turns holds no more tokens than the budget and its ends.
 
 Rows of a conversation go by turn (ties: role, then text; repeated rows stay; null turns first). Null roles and texts
 count as empty, an empty table gives an empty result, extra columns are not read. All of it is built-in functions; the
-only shuffle brings the turns of a conversation together, whose digest is of the whole conversation.
+only shuffle brings the turns of a conversation together, whose digest is of the whole conversation: a conversation must
+fit a row, and its windows are cut by folds over its turns.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from .common import read_table
 TURN, TEXT, END, OPEN, CLOSE = "<|turn|>", "<|text|>", "<|end|>", "<s>", "</s>"
 #: Strings that end or open something in this or another common template.
 CONTROL = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
-BUDGET, HISTORY, RESERVE = 1024, 2, 256
+BUDGET, HISTORY, RESERVE = 4096, 2, 1024
 TARGET_ROLE, SYSTEM_ROLE = "assistant", "system"
 
 
@@ -45,14 +48,17 @@ def render(turn: Column) -> Column:
 
 
 def tokens(turn: Column) -> Column:
-    return F.ceil(F.octet_length(render(turn)) / 4).cast("long")
+    """Those counted for a turn, else at most so many."""
+    return F.coalesce(turn["counted"], F.octet_length(render(turn)).cast("long"))
 
 
-def conversations_of(rows: DataFrame) -> DataFrame:
-    """conv_id, turns: array of (role, text), escaped, in order, each with the prefix sum of tokens up to its end."""
-    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+def conversations_of(rows: DataFrame, counts: str | None = None) -> DataFrame:
+    """conv_id, turns: array of (role, text, counted), escaped, in order, and the prefix sums of their tokens. counts: the
+    column with the tokens of each turn."""
+    counted = F.lit(None).cast("long") if counts is None else F.col(counts).cast("long")
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), counted.alias("counted"))
     grouped = rows.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    turns = F.transform("turns", lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text")))
+    turns = F.transform("turns", lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text"), t["counted"].alias("counted")))
     sums = F.aggregate(
         F.transform("turns", tokens), F.array(F.lit(0).cast("long")),
         lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)),
@@ -60,7 +66,7 @@ def conversations_of(rows: DataFrame) -> DataFrame:
     return grouped.withColumn("turns", turns).withColumn("sums", sums)
 
 
-def spans(budget: int, history: int, reserve: int) -> Column:
+def spans(budget: int, reserve: int) -> Column:
     """Starts of the windows: a turn opens one if the prefix sum at its end leaves the room counted from the last start."""
     upto = lambda i: F.element_at("sums", i + 1)  # noqa: E731  tokens of the first i turns
     system = F.when(F.col("has_system"), upto(F.lit(1))).otherwise(0)
@@ -95,10 +101,10 @@ def window(start: Column, end: Column, history: int, reserve: int) -> Column:
     return F.struct(text.alias("formatted"), loss.alias("loss_spans"), F.size(repeated).alias("repeated"))
 
 
-def format_conversations(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY, reserve: int = RESERVE) -> DataFrame:
+def format_conversations(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY, reserve: int = RESERVE, counts: str | None = None) -> DataFrame:
     """conv_id and windows: array of (formatted, loss_spans in code points of formatted, repeated: its masked leading turns)."""
-    held = conversations_of(rows).withColumn("has_system", F.coalesce(F.element_at("turns", 1)["role"] == SYSTEM_ROLE, F.lit(False)))
-    held = held.withColumn("starts", spans(budget, history, reserve))
+    held = conversations_of(rows, counts).withColumn("has_system", F.coalesce(F.element_at("turns", 1)["role"] == SYSTEM_ROLE, F.lit(False)))
+    held = held.withColumn("starts", spans(budget, reserve))
     ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.size("turns")))
     return held.withColumn("ends", ends).select("conv_id", F.transform(F.arrays_zip("starts", "ends"), lambda w: window(w["starts"], w["ends"], history, reserve)).alias("windows"))
 

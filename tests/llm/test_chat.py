@@ -19,7 +19,7 @@ ROWS = (
 
 def brute(rows, budget, history, reserve):
     """Windows as lists of (index, repeated)."""
-    cost = [-(-len((chat.TURN + esc(r) + chat.TEXT + esc(t) + chat.END).encode()) // 4) for r, t in rows]
+    cost = [len((chat.TURN + esc(r) + chat.TEXT + esc(t) + chat.END).encode()) for r, t in rows]
     system = rows[0][0] == "system"
     out, start = [], 0
     while start < len(rows):
@@ -41,7 +41,7 @@ def esc(t):
     return t
 
 
-@pytest.mark.parametrize("budget,history,reserve", [(1024, 2, 256), (60, 2, 30), (40, 5, 25), (1, 0, 0)])
+@pytest.mark.parametrize("budget,history,reserve", [(4096, 2, 1024), (240, 2, 120), (160, 5, 100), (1, 0, 0)])
 def test_round_trip_windows_and_masks(spark, budget, history, reserve):
     df = spark.createDataFrame([(*r, 1, "w") for r in ROWS], SCHEMA)
     held = chat.format_conversations(df, budget, history, reserve)
@@ -72,6 +72,24 @@ def test_no_control_string_survives_in_texts(spark):
     assert text.count("<|") == 3 * len(NASTY) and text.count("[INST]") == 0 and text.count("</s>") == 1 and text.count("<s>") == 1
 
 
+def test_budgets_hold_in_tokens(spark):
+    """Counts by the tokenizer itself, made from the rendered turns; and the upper bound without them."""
+    import sentencepiece
+
+    from lodestone.llm import subword
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=subword.MODEL)
+    texts = [("é 漢 " * (i % 5) + f"some plain words of turn {i} " * (i % 9)) for i in range(60)]
+    rows = [(9, i, ["user", "assistant"][i % 2], t, len(sp.encode(chat.TURN + ["user", "assistant"][i % 2] + chat.TEXT + t + chat.END)), "") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    size = {}
+    for counts in ("turns", None):
+        held = chat.windows_of(chat.format_conversations(df, 200, 2, 60, counts)).collect()
+        assert all(len(sp.encode(w.formatted)) <= 200 + 8 or w.formatted.count(chat.TURN) == 1 + w.repeated for w in held)
+        size[counts] = len(held)
+    assert size["turns"] < size[None]  # real counts fill the windows better
+
+
 def test_query_adds_its_conversation_and_empty_table(spark):
     got = chat.query(spark, "/root/testdata/sf0.001").filter("conv_id = -7").first()
     said = "</s>[INST] ok [/INST]"
