@@ -164,7 +164,10 @@ def metadata_summary(meta: Column) -> Column:
 def key_metadata(meta: Column) -> Column:
     """The key fields that are present; the position always."""
     first = lambda *names: F.coalesce(*[F.nullif(named(meta, n), F.lit("")) for n in names])
-    pairs = {"CreationDate": named(meta, "CreationDate"), "ModDate": named(meta, "ModDate"), "Producer": named(meta, "Producer"), "Creator": named(meta, "Creator"), "DateTime": first("EXIF DateTimeOriginal", "Image DateTime"), "Make": named(meta, "Image Make"), "Model": named(meta, "Image Model"), "Software": first("Image Software", "EXIF Software")}
+    pairs = {k: named(meta, k) for k in ("CreationDate", "ModDate", "Producer", "Creator")} | {
+        "DateTime": first("EXIF DateTimeOriginal", "Image DateTime"), "Make": named(meta, "Image Make"),
+        "Model": named(meta, "Image Model"), "Software": first("Image Software", "EXIF Software"),
+    }
     kept = F.map_filter(F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
     return F.struct(kept.alias("fields"), F.struct(named(meta, "GPS GPSLatitude").alias("latitude"), named(meta, "GPS GPSLongitude").alias("longitude")).alias("gps"))
 
@@ -242,7 +245,10 @@ def fonts(chars: DataFrame, max_pages: int = Config.max_pdf_pages) -> DataFrame:
 
 def font_rules(counted: DataFrame, threshold: int = Config.font_count_threshold) -> DataFrame:
     """doc_id, distinct_fonts, font_distribution, indicator (null if there are not too many)."""
-    return counted.groupBy("doc_id").agg(F.count(F.lit(1)).alias("distinct_fonts"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("font", "n")))).alias("font_distribution")).withColumn("indicator", F.when(F.col("distinct_fonts") > threshold, F.concat(F.lit("text: fonts: "), F.col("distinct_fonts").cast("string"))))
+    by_font = F.map_from_entries(F.array_sort(F.collect_list(F.struct("font", "n"))))
+    by_doc = counted.groupBy("doc_id").agg(F.count(F.lit(1)).alias("distinct_fonts"), by_font.alias("font_distribution"))
+    said = F.concat(F.lit("text: fonts: "), F.col("distinct_fonts").cast("string"))
+    return by_doc.withColumn("indicator", F.when(F.col("distinct_fonts") > threshold, said))
 
 
 def first_pages(pages: DataFrame, limit: int, order: str = "page", key: str = "doc_id") -> DataFrame:

@@ -46,7 +46,8 @@ def pages(docs: DataFrame, column: str = "result") -> DataFrame:
 def cells(docs: DataFrame, column: str = "result") -> DataFrame:
     """doc_id, table, row_index, column_index, row_span, column_span, kind, content."""
     t = docs.select("doc_id", F.posexplode(f"{column}.tables").alias("table", "t")).select("doc_id", "table", F.explode("t.cells").alias("c"))
-    return t.select("doc_id", "table", "c.row_index", "c.column_index", F.coalesce("c.row_span", F.lit(1)).alias("row_span"), F.coalesce("c.column_span", F.lit(1)).alias("column_span"), F.coalesce("c.kind", F.lit("content")).alias("kind"), F.coalesce("c.content", F.lit("")).alias("content"))
+    given = lambda field, default: F.coalesce(f"c.{field}", F.lit(default)).alias(field)
+    return t.select("doc_id", "table", "c.row_index", "c.column_index", given("row_span", 1), given("column_span", 1), given("kind", "content"), given("content", ""))
 
 
 def table_rows(cell_rows: DataFrame) -> DataFrame:

@@ -272,12 +272,20 @@ def address_similarity(spark, d):
     return joined.select("s_suppkey", F.round(similarity.address_similarity(similarity.joined_address("s_name", "n_name"), similarity.joined_address("n_name", F.lit("Supplier"), F.lit(""))), 6).alias("score"))
 
 
+def part_phone(prefix: str):
+    return F.concat(F.lit(prefix), F.lpad((F.col("p_partkey") % 100).cast("string"), 2, "0"))
+
+
 def part_candidates(spark, d) -> DataFrame:
-    return table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("provider_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("provider_network"), F.col("p_type").alias("category"), F.concat(F.lit("555-01"), F.lpad((F.col("p_partkey") % 100).cast("string"), 2, "0")).alias("phone_number"), F.col("p_partkey").alias("input_pos"))
+    return table(spark, d, "part").select(
+        F.col("p_partkey").cast("string").alias("provider_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("provider_network"),
+        F.col("p_type").alias("category"), part_phone("555-01").alias("phone_number"), F.col("p_partkey").alias("input_pos"),
+    )
 
 
 def part_queries(spark, d) -> DataFrame:
-    return table(spark, d, "part").filter("p_partkey % 100 = 0").select(F.col("p_partkey").cast("string").alias("query_id"), F.concat("p_name", F.lit(" company")).alias("provider_legal_name"), F.concat(F.lit("+1 555-01"), F.lpad((F.col("p_partkey") % 100).cast("string"), 2, "0")).alias("phone_number"))
+    name = F.concat("p_name", F.lit(" company")).alias("provider_legal_name")
+    return table(spark, d, "part").filter("p_partkey % 100 = 0").select(F.col("p_partkey").cast("string").alias("query_id"), name, part_phone("+1 555-01").alias("phone_number"))
 
 
 @query(f"""WITH t AS (SELECT unnest(list_concat(list_concat(string_split({NORMAL.format('p_name')}, ' '), string_split({NORMAL.format('p_brand')}, ' ')), string_split({NORMAL.format('p_type')}, ' '))) AS token FROM part),
@@ -485,9 +493,13 @@ def first_pages(spark, d):
 
 def result_json(spark, d) -> DataFrame:
     """A document-analysis result per conversation: a page per turn, the roles as keys, a table of turns."""
-    turn = F.struct(F.col("turn"), F.struct((F.col("turn") + 1).cast("int").alias("page_number"), F.lit(8.5).alias("width"), F.array(F.struct(F.col("text").alias("content"))).alias("lines")).alias("page"), F.struct(F.struct(F.col("role").alias("content")).alias("key"), F.struct(F.col("text").alias("content")).alias("value")).alias("kv"))
+    held = lambda col: F.struct(F.col(col).alias("content"))
+    page = F.struct((F.col("turn") + 1).cast("int").alias("page_number"), F.lit(8.5).alias("width"), F.array(held("text")).alias("lines"))
+    turn = F.struct(F.col("turn"), page.alias("page"), F.struct(held("role").alias("key"), held("text").alias("value")).alias("kv"))
     g = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list(turn)).alias("t"))
-    made = F.struct(F.transform("t", lambda x: x["page"]).alias("pages"), F.transform("t", lambda x: x["kv"]).alias("key_value_pairs"), F.array(F.struct(F.transform("t", lambda x: F.struct(x["kv"]["value"]["content"].alias("content"), x["turn"].cast("int").alias("row_index"), F.lit(0).alias("column_index"))).alias("cells"))).alias("tables"))
+    cell = lambda x: F.struct(x["kv"]["value"]["content"].alias("content"), x["turn"].cast("int").alias("row_index"), F.lit(0).alias("column_index"))
+    tables = F.array(F.struct(F.transform("t", cell).alias("cells")))
+    made = F.struct(F.transform("t", lambda x: x["page"]).alias("pages"), F.transform("t", lambda x: x["kv"]).alias("key_value_pairs"), tables.alias("tables"))
     return g.select("doc_id", F.to_json(made).alias("result"))
 
 
