@@ -26,6 +26,7 @@ from .common import keep, read_table, work_path
 
 BLOCKS, SUBS, CELLS, NEAR = 1024, 64, 1 << 19, 0.0005
 OLD_SHARDS, NEW_SHARDS = 6, 8
+CODEC, PART_BYTES = "zstd", 256 << 20
 
 
 def min_cost_flow(supply: dict[int, int], capacity: dict[int, int]) -> dict[tuple[int, int], int]:
@@ -149,7 +150,7 @@ def assignment(rows: DataFrame, capacities: dict[int, int] | int) -> tuple[DataF
 def store(docs: DataFrame, old_shards: int, out: str) -> dict[int, str]:
     """Write the documents (all columns) as old_shards shards by block of text; shard -> folder."""
     old = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(BLOCKS)) % old_shards
-    docs.withColumn("_ls_old", old.cast("int")).write.partitionBy("_ls_old").parquet(out)
+    docs.withColumn("_ls_old", old.cast("int")).write.option("compression", CODEC).partitionBy("_ls_old").parquet(out)
     held = docs.sparkSession.read.parquet(out).select("_ls_old").distinct().collect() if docs.take(1) else []
     return {r[0]: f"{out}/_ls_old={r[0]}" for r in held}
 
@@ -196,9 +197,10 @@ def rewrite(spark: SparkSession, stored: dict[int, str], capacities: dict[int, i
     wanted = range(capacities) if isinstance(capacities, int) else capacities
     after = {j: stored[j] for j in wanted if j in stored and j not in touched}
     if touched:
+        parts = max(16, sum(flow.values()) // (max(1, len(touched)) * PART_BYTES))  # tasks that write a shard
         side = F.broadcast(cells) if cells.count() <= CELLS else cells
         moved = rows.filter(F.col("_ls_old").isin(touched)).join(side, ["_ls_old", "_ls_block", "_ls_sub"])
-        moved.select(*names, "_ls_shard").repartition("_ls_shard", F.pmod(F.xxhash64("doc_id"), F.lit(16))).write.partitionBy("_ls_shard").parquet(out)
+        moved.select(*names, "_ls_shard").repartition(len(touched) * parts, "_ls_shard", F.pmod(F.xxhash64("doc_id"), F.lit(parts))).write.option("compression", CODEC).partitionBy("_ls_shard").parquet(out)
         filled = {r[0] for r in cells.filter(F.col("_ls_shard").isin(touched)).select("_ls_shard").distinct().collect()}
         after |= {j: f"{out}/_ls_shard={j}" for j in touched if j in wanted and j in filled}
     return after
