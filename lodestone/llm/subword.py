@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import read_table, slices, small_batches
 
 MODEL, SAMPLES, SEED, ZIPF = "/opt/tokenizers/piece_bpe_32k.model", 2, 7, 10.0
-SPACE, BLOCK_WORDS = "▁", 40_000
+SPACE, BLOCK_WORDS = "▁", 100_000
 #: Words of more characters are cut where no piece spans, so many characters at a time; a block counts a word for so many.
 LONG_WORD, CUT_CHARS, WORD_CHARS = 32, 1 << 18, 8
 #: Steps looked at first, and the largest Gumbel that `uniform` can give, rounded up.
@@ -355,21 +355,21 @@ def agenda_values(path: Path, slots: np.ndarray, level: np.ndarray, keys: np.nda
 
 def in_parts(words: list[str], kind: np.ndarray, count: np.ndarray, trie: Trie) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Different words, which of them each word of the block is, words by document; the same with long words cut in parts."""
-    long = [i for i, w in enumerate(words) if len(w) > LONG_WORD]
     opened = [" " + w for w in words]
+    long = np.flatnonzero(np.fromiter(map(len, words), np.int64, len(words)) > LONG_WORD).tolist()
     if not long:
         return opened, kind, count
-    pieces = [[w] for w in opened]
-    for i, parts in zip(long, cut([opened[i] for i in long], trie), strict=True):
-        pieces[i] = parts
-    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    every = list(chain.from_iterable(pieces))
-    different = list(dict.fromkeys(every))
-    which = np.fromiter(map(dict(zip(different, range(len(different)), strict=True)).__getitem__, every), np.int64, len(every))
+    sizes, more, known = np.ones(len(words), np.int64), [], {}
+    for i, (first, *others) in zip(long, cut([opened[i] for i in long], trie), strict=True):
+        opened[i] = first  # the word stands for its first part
+        sizes[i] += len(others)
+        more += [known.setdefault(part, len(words) + len(known)) for part in others]
+    flat = np.repeat(np.arange(len(words)), sizes)
+    flat[np.flatnonzero(flat[1:] == flat[:-1]) + 1] = more
     times = sizes[kind]
     ends = np.cumsum(times)
-    spread = np.arange(int(times.sum())) - np.repeat(ends - times - (np.cumsum(sizes) - sizes)[kind], times)
-    return different, which[spread], np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(count)])])
+    spread = np.arange(int(ends[-1])) - np.repeat(ends - times - (np.cumsum(sizes) - sizes)[kind], times)
+    return opened + list(known), flat[spread], np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(count)])])
 
 
 def sample_block(texts: list[str], row_keys: np.ndarray, trie: Trie, vocabulary: Vocabulary, k: int):
