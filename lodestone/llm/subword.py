@@ -21,10 +21,9 @@ texts are encoded. Repeated rows give repeated results; an empty table an empty
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +34,12 @@ MODEL, SAMPLES, SEED, ZIPF = "/opt/tokenizers/piece_bpe_32k.model", 2, 7, 10.0
 SPACE, BLOCK_WORDS = "▁", 100_000
 #: Words of more characters are cut where no piece spans, so many characters at a time; a block counts a word for so many.
 LONG_WORD, CUT_CHARS, WORD_CHARS = 32, 1 << 18, 8
-#: Steps looked at first, and the largest Gumbel that `uniform` can give, rounded up.
-WINDOW, NOISE = 96, 37.0
+#: Steps looked at first (then so many times more), and the largest Gumbel that `uniform` can give, rounded up.
+WINDOW, WIDER, NOISE = 512, 2, 37.0
 #: Most pieces that end at a place have at most so many characters; sums over longer ones are made only where there are some.
 NARROW = 4
+#: Sums over up to so many words are made for all lengths at once, as a long word has many places.
+FEW = 48
 U = np.uint64
 
 
@@ -172,91 +173,103 @@ def cut(words: list[str], trie: Trie) -> list[list[str]]:
 class Lattice:
     """All words of a block: a row per character of each different word, and the edges that end there, by length.
 
-    Words start with the space that opens them; parts of long words that no piece spans are words of their own.
+    Words start with the space that opens them; parts of long words that no piece spans are words of their own. Rows go by
+    the character's place in its word, then by rank of the word, longest first: the words that reach a place are the first
+    ones there, so that sums, place by place, are over contiguous columns of all words at once.
 
-    piece[row, n-1]: the piece of n characters that ends at row, -1 without one, -2-c for the bytes of character c.
+    piece[n-1, row]: the piece of n characters that ends at row, -1 without one, -2-c for the bytes of character c.
     log_q: its log-probability given that an edge ends there, from forward sums over all segmentations of the word up
-    to there. cum: the same, cumulative."""
+    to there. cum: the same, cumulative over n."""
 
     def __init__(self, words: list[str], trie: Trie, vocabulary: Vocabulary):
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        order = np.argsort(sizes, kind="stable")
+        self.size = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-self.size, kind="stable")
+        self.rank = np.empty(len(words), np.int64)
+        self.rank[order] = np.arange(len(words))
         text = "".join(map(words.__getitem__, order.tolist()))
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        sorted_sizes = sizes[order]
-        begins = np.concatenate([[0], np.cumsum(sorted_sizes)])[:-1]
-        self.size, self.begin = sizes, np.empty(len(words), np.int64)
-        self.begin[order] = begins
-        n, width = len(codes), trie.width
+        sizes, n = self.size[order], len(codes)
+        reach = len(words) - np.searchsorted(sizes[::-1], np.arange(sizes[0] if len(words) else 0), side="right")  # words with a character at a place
+        self.first = np.concatenate([[0], np.cumsum(reach)])
+        ends = np.repeat(np.cumsum(sizes), sizes)
+        room = ends - np.arange(n)  # characters from here to the word's end
+        row = self.first.take(np.repeat(sizes, sizes) - room) + np.repeat(np.arange(len(words)), sizes)
         classes = trie.classes[codes].astype(np.int32)
-        room = np.repeat(sorted_sizes + begins, sorted_sizes) - np.arange(n)  # characters from here to the word's end
-        self.piece = np.full((n, width), -1, np.int32)
-        at, nodes, widest = np.arange(n), np.zeros(n, np.int32), 1
-        for length in range(1, width + 1):
+        hits = []
+        at, nodes = np.arange(n), np.zeros(n, np.int32)
+        for length in range(1, trie.width + 1):
             if length > 1:
-                on = room[at] >= length
-                at, nodes = at[on], nodes[on]
+                on = np.flatnonzero(room.take(at) >= length)
+                at, nodes = at.take(on), nodes.take(on)
             nodes = trie.step(nodes, classes.take(at + (length - 1)))
             on = np.flatnonzero(nodes)
             at, nodes = at.take(on), nodes.take(on)
             found = trie.piece.take(nodes)
             hit = np.flatnonzero(found >= 0)
-            self.piece[at.take(hit) + (length - 1), length - 1] = found.take(hit)
-            widest = length if hit.size else widest
-        width = widest
-        self.piece = np.ascontiguousarray(self.piece[:, :width])
-        bare = np.flatnonzero(self.piece[:, 0] < 0)
-        self.piece[bare, 0] = -2 - codes[bare].astype(np.int32)
-        lengths = np.array([len(chr(c).encode("utf-8", "surrogatepass")) for c in np.unique(codes[bare]).tolist()], np.float64)
-        cost = np.zeros(n)
+            hits.append((row.take(at.take(hit) + (length - 1)), found.take(hit)))
+        self.width = width = max((length for length, (rows, _) in enumerate(hits, 1) if rows.size), default=1)
+        self.piece, self.log_q = np.full((width, n), -1, np.int32), np.full((width, n), -np.inf)
+        far = np.zeros(n, bool)
+        for length, (rows, found) in enumerate(hits[:width], 1):
+            self.piece[length - 1][rows] = found
+            self.log_q[length - 1][rows] = vocabulary.log_probs.take(found)
+            if length > NARROW:
+                far[rows] = True
+        bare = np.flatnonzero(self.piece[0].take(row) < 0)
+        letters, which = np.unique(codes[bare], return_inverse=True)
+        lengths = np.array([len(chr(c).encode("utf-8", "surrogatepass")) for c in letters.tolist()], np.float64)
+        self.piece[0][row[bare]] = -2 - codes[bare].astype(np.int32)
         if len(bare):
-            cost[bare] = lengths[np.searchsorted(np.unique(codes[bare]), codes[bare])] * float(vocabulary.log_probs[vocabulary.byte_ids].min())
-        table = np.append(vocabulary.log_probs, -np.inf)
-        self.width = width
-        self.log_q = table.take(self.piece.ravel(), mode="wrap").reshape(n, width)  # the last entry is for none
-        self.log_q[bare, 0] = cost[bare]
-        far = (self.piece[:, NARROW:] >= 0).any(axis=1) if width > NARROW else np.zeros(n, bool)
-
-        def raw(at: np.ndarray) -> np.ndarray:
-            weight = table.take(self.piece.take(at, axis=0), mode="wrap")
-            weight[:, 0] = np.where(self.piece[at, 0] < -1, cost[at], weight[:, 0])
-            return weight
-
-        def sums(edges: np.ndarray, cum: np.ndarray, alpha: np.ndarray, j: int, span: int, some: np.ndarray | None) -> None:
-            """Forward sums at the j-th end: of all words over edges up to span, or of some words anew."""
-            edge = edges[:, :span] if some is None else edges[some, :span]
-            before = alpha[:, j - span : j][:, ::-1]
-            edge += before if some is None else before[some]
-            top = edge.max(axis=1)
-            odds = np.cumsum(np.exp(edge - top[:, None]), axis=1)
-            total = top + np.log(odds[:, -1])
-            edge -= total[:, None]
-            if some is None:
-                alpha[:, j] = total
-                np.divide(odds, odds[:, -1:], out=cum[:, :span], casting="same_kind")
+            self.log_q[0][row[bare]] = lengths[which] * float(vocabulary.log_probs[vocabulary.byte_ids].min())
+        self.cum, alpha, ranks = np.ones((width, n), np.float32), np.zeros(n), np.arange(FEW)
+
+        def sums(edge: np.ndarray, place: int, some: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+            """Forward sums at a place, of all words there or of some, over the edges given; these become log-odds, what comes back their sums and cumulative odds."""
+            inner, many = min(len(edge), place), edge.shape[1] > FEW  # edges that do not open the word
+            if many and some is None:
+                for length in range(1, inner + 1):
+                    begin = int(self.first[place - length])
+                    edge[length - 1] += alpha[begin : begin + edge.shape[1]]
             else:
-                alpha[some, j] = total
-                edges[some, :span] = edge
-                cum[some, :span] = odds / odds[:, -1:]
-
-        self.cum = np.ones((n, width), np.float32)
-        start = 0
-        for length, count in zip(*np.unique(sorted_sizes, return_counts=True), strict=True):
-            rows = slice(start, start + length * count)
-            start += length * count
-            edges, cum = (x[rows].reshape(count, length, width) for x in (self.log_q, self.cum))
-            longer = far[rows].reshape(count, length)
-            alpha = np.zeros((count, length + 1))
-            for j in range(1, length + 1):
-                sums(edges[:, j - 1], cum[:, j - 1], alpha, j, min(j, NARROW, width), None)
-                if j > NARROW and (some := np.flatnonzero(longer[:, j - 1])).size:  # few ends have a long edge
-                    edges[:, j - 1][some] = raw(rows.start + some * length + j - 1)
-                    sums(edges[:, j - 1], cum[:, j - 1], alpha, j, min(j, width), some)
+                edge[:inner] += alpha.take(self.first[place - inner : place][::-1, None] + (ranks[: edge.shape[1]] if some is None else some))
+            top = edge.max(axis=0)
+            odds = np.exp(edge - top)
+            if many:
+                for length in range(1, len(odds)):
+                    odds[length] += odds[length - 1]
+            else:
+                np.cumsum(odds, axis=0, out=odds)
+            total = top + np.log(odds[-1])
+            edge -= total
+            odds /= odds[-1].copy()
+            return total, odds
+
+        for place, count in enumerate(reach.tolist()):
+            rows = slice(int(self.first[place]), int(self.first[place]) + count)
+            whole = min(place + 1, width)
+            span = min(whole, NARROW) if count > FEW else whole
+            some = np.flatnonzero(far[rows]) if whole > span else []  # few ends have a long edge
+            edge = self.log_q[:whole, rows].take(some, axis=1) if len(some) else None
+            alpha[rows], self.cum[:span, rows] = sums(self.log_q[:span, rows], place, None)
+            if edge is not None:
+                alpha[rows.start + some], odds = sums(edge, place, some)
+                self.log_q[:whole, rows.start + some], self.cum[:whole, rows.start + some] = edge, odds
         np.minimum(self.log_q, 0.0, out=self.log_q)
 
-    def log_odds(self, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Log conditional probability of the edges of these lengths that end at rows."""
-        return self.log_q.ravel().take(rows * self.width + (lengths - 1))
+    def at(self, edges: np.ndarray, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Of piece or log_q: the values of the edges of these lengths that end at rows."""
+        return edges.ravel().take((lengths - 1) * edges.shape[1] + rows)
+
+    def draw(self, rows: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """Lengths of the edges that end at rows, by the cumulative odds that u falls in."""
+        length, at = np.ones(len(rows), np.int64), np.arange(len(rows))
+        for cum in self.cum:
+            on = np.flatnonzero(cum.take(rows) < u)
+            if not on.size:
+                break
+            rows, u, at = rows.take(on), u.take(on), at.take(on)
+            length[at] += 1
+        return length
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -282,15 +295,15 @@ class Path:
 
 def walk(lattice: Lattice, kind: np.ndarray, word: np.ndarray, left: np.ndarray, keys: np.ndarray, sample: int) -> tuple:
     """Draw the steps of each word with `left` characters to go; returns word, row, length, log_p by word and step."""
-    got, at = [], np.flatnonzero(left > 0)
+    got, at, rank = [], np.flatnonzero(left > 0), lattice.rank.take(kind)
     left = left.copy()
     step = 0
     while len(at):
         now = left.take(at)
-        row = lattice.begin.take(kind.take(at)) + now - 1
+        row = lattice.first.take(now - 1) + rank.take(at)
         u = uniform(keys.take(at) + U(step * 0x632BE59BD9B4E019 % (1 << 64)), 2 * sample + 1).astype(np.float32)
-        length = 1 + (lattice.cum.take(row, axis=0) < u[:, None]).sum(axis=1)
-        got.append((at, row, length, lattice.log_odds(row, length)))
+        length = lattice.draw(row, u)
+        got.append((at, row, length, lattice.at(lattice.log_q, row, length)))
         now -= length
         left[at] = now
         at = at[now > 0]
@@ -328,13 +341,13 @@ def best_of(values: np.ndarray, ends: np.ndarray, k: int) -> list[list[int]]:
     return out
 
 
-def agenda_values(path: Path, slots: np.ndarray, level: np.ndarray, keys: np.ndarray, after: np.ndarray, sample: int, window: int | None):
+def agenda_values(path: Path, slots: np.ndarray, level: np.ndarray, keys: np.ndarray, after: np.ndarray, sample: int, window: int):
     """Perturbed values of "another edge here", truncated at the document's, for each step from `after` on, `window` at most.
 
     Returns values, the log-mass before each, their places in the path, the ends by slot, and the log-mass after the last."""
     starts = np.concatenate([[0], path.ends[:-1]])[slots]
     lows = starts + after[slots]
-    highs = path.ends[slots] if window is None else np.minimum(path.ends[slots], lows + window)
+    highs = np.minimum(path.ends[slots], lows + window)
     highs = np.maximum(highs, lows)
     counts = highs - lows
     ends = np.cumsum(counts)
@@ -372,15 +385,17 @@ def in_parts(words: list[str], kind: np.ndarray, count: np.ndarray, trie: Trie)
     return opened + list(known), flat[spread], np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(count)])])
 
 
+def words_of(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Different words in order of appearance, which of them each word of the block is, words by document (none in an empty one)."""
+    split = pc.split_pattern(pa.array([t.encode("utf-8", "surrogatepass") or None for t in texts], pa.large_binary()), b" ")
+    every = split.flatten().dictionary_encode()
+    different = [w.decode("utf-8", "surrogatepass") for w in every.dictionary.to_numpy(zero_copy_only=False)]
+    return different, every.indices.to_numpy().astype(np.int64), pc.fill_null(pc.list_value_length(split), 0).to_numpy().astype(np.int64)
+
+
 def sample_block(texts: list[str], row_keys: np.ndarray, trie: Trie, vocabulary: Vocabulary, k: int):
     """Per sample: documents that have it, ids (flat), their ends, log-probabilities, perturbed values, log inclusion."""
-    split = [t.split(" ") if t else [] for t in texts]
-    count = np.fromiter(map(len, split), np.int64, len(split))
-    every = list(chain.from_iterable(split))
-    different = list(dict.fromkeys(every))
-    kind = np.fromiter(map(dict(zip(different, range(len(different)), strict=True)).__getitem__, every), np.int64, len(every))
-    del split, every
-    different, kind, count = in_parts(different, kind, count, trie)
+    different, kind, count = in_parts(*words_of(texts), trie)
     word_ends = np.cumsum(count)
     word_starts = word_ends - count
     owner = np.repeat(np.arange(len(texts)), count)
@@ -403,11 +418,11 @@ def sample_block(texts: list[str], row_keys: np.ndarray, trie: Trie, vocabulary:
             again = []
             for slot, tops, e, left in zip(slots.tolist(), best_of(value, ends, k), path.ends[slots].tolist(), rest.tolist(), strict=True):
                 begin = int(path.ends[slot - 1]) if slot else 0
-                if window is not None and e - begin - int(after[slot]) > window and (len(tops) < k or value[tops[-1]] <= left + NOISE):
+                if e - begin - int(after[slot]) > window and (len(tops) < k or value[tops[-1]] <= left + NOISE):
                     again.append(slot)
                 else:
                     agenda[docs[slot]] += [(float(value[p]), sample, slot, int(spot[p]) - begin, float(before[p]), (int(path.length[spot[p]]),)) for p in tops]
-            slots, window = np.array(again, np.int64), None
+            slots, window = np.array(again, np.int64), window * WIDER
 
     everyone = np.arange(len(texts))
     note(paths[0], everyone, levels[0], np.zeros(len(texts), np.int64), 0)
@@ -423,10 +438,10 @@ def sample_block(texts: list[str], row_keys: np.ndarray, trie: Trie, vocabulary:
             begin = path.ends[slot - 1] if slot else 0
             spot = begin + step
             row, word = path.row[spot], int(path.word[spot])
-            left = int(row - lattice.begin[kind[word]] + 1)
-            lengths = np.flatnonzero(lattice.piece[row, :left] != -1) + 1
-            log_p = lattice.log_odds(np.full(len(lengths), row), lengths)
-            open_ = ~np.isin(lengths, taken)
+            left = int(np.searchsorted(lattice.first, row, side="right"))
+            lengths = np.flatnonzero(lattice.piece[:left, row] != -1) + 1
+            log_p = lattice.log_q[lengths - 1, row]
+            open_ = np.array([n not in taken for n in lengths.tolist()])
             lengths, log_p = lengths[open_], log_p[open_]
             u = float(uniform(row_keys[d : d + 1] + U((sample * 1_000_003 + step) % (1 << 63)), 3)[0])
             odds = np.cumsum(np.exp(log_p - log_p.max()))
@@ -487,7 +502,7 @@ def ids_of(path: Path, lattice: Lattice, vocabulary: Vocabulary) -> tuple[np.nda
     begin = np.flatnonzero(new)
     size = np.diff(np.append(begin, n))
     back = np.repeat(2 * begin + size - 1, size) - np.arange(n)
-    pieces = lattice.piece.ravel().take(path.row.take(back) * lattice.piece.shape[1] + path.length.take(back) - 1)
+    pieces = lattice.at(lattice.piece, path.row.take(back), path.length.take(back))
     odd = np.flatnonzero(pieces < 0)
     counts = np.ones(n, np.int64)
     if not len(odd):
@@ -513,17 +528,17 @@ def decode_ids(ids: list[int], table: list[bytes]) -> str:
     return b"".join(map(table.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
 
 
-def decodes(ids, starts, ends, docs, spelt: list[bytes], table: list[bytes], widths: np.ndarray) -> list[bool]:
+def decodes(ids: np.ndarray, starts, ends, docs, spelt: list[bytes], table: pa.Array) -> list[bool]:
     """Whether each document's ids decode to its text, by bytes: all ids of a sample are decoded in one run."""
-    whole = b"".join(map(table.__getitem__, ids.tolist()))
-    at = np.concatenate([[0], np.cumsum(widths.take(ids))])
+    _, offsets, whole = table.take(pa.array(ids)).buffers()
+    at, whole = np.frombuffer(offsets, np.int64), whole.to_pybytes() if whole else b""
     return [whole[a + (b > a) : b] == spelt[d] for a, b, d in zip(at[starts].tolist(), at[ends].tolist(), docs.tolist(), strict=True)]
 
 
 def encode_batches(batches, plain: tuple, k: int, seed: int, check: bool):
     """plain: the vocabulary's and the trie's parts."""
     vocabulary, trie = Vocabulary(*plain[0]), Trie(plain[1])
-    widths = np.array([len(b) for b in vocabulary.bytes])
+    table = pa.array(vocabulary.bytes, pa.large_binary())
     schema = pa.schema([("doc_id", pa.int64()), ("sample", pa.int32()), ("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("log_inclusion", pa.float64()), ("exact", pa.bool_())])
     for batch in slices(batches):
         doc_ids = batch.column("doc_id").to_pylist()
@@ -541,7 +556,7 @@ def encode_batches(batches, plain: tuple, k: int, seed: int, check: bool):
             with np.errstate(all="ignore"):
                 for sample, (docs, ids, ends, log_p, level, inclusion) in enumerate(sample_block(part, keys, trie, vocabulary, k)):
                     starts = np.concatenate([[0], ends[:-1]])
-                    exact = decodes(ids, starts, ends, docs, spelt, vocabulary.bytes, widths) if check else [None] * len(docs)
+                    exact = decodes(ids, starts, ends, docs, spelt, table) if check else [None] * len(docs)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([doc_ids[start + d] for d in docs.tolist()], pa.int64()), pa.array(np.full(len(docs), sample, np.int32)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32))), pa.array(log_p), pa.array(level), pa.array(inclusion), pa.array(exact, pa.bool_())],
                         schema=schema,

@@ -133,3 +133,46 @@ def test_unknown_pieces_are_bytes_and_pieces_stay_within_words(vocabulary, trie)
     (row,) = draw("日\n of", 1, 1, trie, vocabulary)
     pieces = [vocabulary.pieces[i] for i in row[0][0]]
     assert "<0x0A>" in pieces and not any(p != "▁" and "▁" in p[1:] for p in pieces)
+
+
+def test_agenda_looks_no_further_than_needed(vocabulary, trie, monkeypatch):
+    """Steps far behind the first ones cannot reach the k-th value: they are not looked at, and how many are looked at first changes nothing."""
+    r, looked, steps = np.random.default_rng(0), [], []
+    text = " ".join("".join(chr(97 + c) for c in r.integers(0, 26, 5)) for _ in range(4000))
+    values = subword.agenda_values
+
+    def counted(path, *others):
+        out = values(path, *others)
+        looked.append(len(out[0]))
+        steps.append(len(path.word))
+        return out
+
+    monkeypatch.setattr(subword, "agenda_values", counted)
+    got = draw(text, 2, 3, trie, vocabulary)
+    assert sum(looked) < 0.5 * 3 * max(steps)
+    for window in (1, 1 << 40):
+        monkeypatch.setattr(subword, "WINDOW", window)
+        assert draw(text, 2, 3, trie, vocabulary) == got
+
+
+def test_words_of_all_lengths_share_a_lattice(vocabulary, trie, monkeypatch):
+    """Sums over words of mixed lengths, with long pieces, few words at the last places or many, give each word's own law."""
+    words = ["a", "of", "xq", "ther", "there", "information", "understand", "of", "----", "________"]
+    texts = words * 30 + ["", "of"]
+    results = []
+    for few in (subword.FEW, 0, 1 << 20):
+        monkeypatch.setattr(subword, "FEW", few)
+        keys = np.array([subword.row_key(i, 3) for i in range(len(texts))], np.uint64)
+        with np.errstate(all="ignore"):
+            results.append([[x.tolist() for x in part] for part in subword.sample_block(texts, keys, trie, vocabulary, 2)])
+    assert results[0] == results[1] == results[2]
+    law = {w: segmentations(w, vocabulary) for w in set(words)}
+    assert max(len(vocabulary.pieces[i]) for w in law for s in law[w] for i in s) > subword.NARROW
+    for docs, ids, ends, log_p, *_ in results[0]:
+        for d, part, p in zip(docs, np.split(ids, ends[:-1]), log_p, strict=True):
+            assert texts[d] == "" or abs(law[texts[d]][tuple(part.tolist())] - p) < 1e-9
+
+
+def test_surrogates_and_words_in_order(vocabulary):
+    words, kind, count = subword.words_of(["b a  b", "", "a\n \ud800", " "])
+    assert words == ["b", "a", "", "a\n", "\ud800"] and kind.tolist() == [0, 1, 2, 0, 3, 4, 2, 2] and count.tolist() == [4, 0, 2, 2]
